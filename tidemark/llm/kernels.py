@@ -31,8 +31,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
     have = _powers[base]
     if len(have) < n:
-        n = max(n, CHUNK)
-        have = np.full(n, base, np.uint64)
+        have = np.full(max(n, CHUNK), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
         _powers[base] = have

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -15,7 +16,11 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op2_near_dedup(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup)}
 
 SQL = {
     "op1_exact_dedup": f"""
@@ -23,4 +28,22 @@ SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents)
         WINDOW w AS (PARTITION BY t)""",
+    "op2_near_dedup": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+        links AS (
+            SELECT c.a, c.b FROM (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) c
+            JOIN sizes p ON p.doc_id = c.a JOIN sizes q ON q.doc_id = c.b
+            WHERE 100 * c.n >= 80 * (p.n + q.n - c.n)),
+        reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+        SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id, r.doc_id = min(r.other) AS kept
+        FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
 }
