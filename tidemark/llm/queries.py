@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
+from .packing import pack
+from .token_file import read_tokens, write_tokens
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -20,7 +25,17 @@ def op2_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup)}
+def op6_packing(spark, sf_dir):
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_token_file(spark, sf_dir):
+    manifest = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    return read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op6_packing, op8_token_file)}
 
 SQL = {
     "op1_exact_dedup": f"""
