@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .packing import pack
 from .token_file import read_tokens, write_tokens
+from .warc import read_warc, write_warc
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -35,7 +36,14 @@ def op8_token_file(spark, sf_dir):
     return read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op6_packing, op8_token_file)}
+def op9_warc(spark, sf_dir):
+    records = read_warc(write_warc(table(spark, sf_dir, "pages")), payload=False).where("last")
+    return records.select("page_id", "payload_bytes", F.coalesce("running", "digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op6_packing, op8_token_file, op9_warc)}
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {b}) & 31) + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))
 
 SQL = {
     "op1_exact_dedup": f"""
@@ -61,4 +69,11 @@ SQL = {
             SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
         SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id, r.doc_id = min(r.other) AS kept
         FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op9_warc": f"""
+        WITH d AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, h, min(page_id) OVER (PARTITION BY t) AS first_id
+                   FROM (SELECT page_id, t, sha1(t) AS h FROM (SELECT page_id, coalesce(html, '') AS t FROM pages)))
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM d""",
 }
