@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from .decontam import contaminated
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .packing import pack
@@ -26,6 +27,10 @@ def op2_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark, sf_dir):
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -41,7 +46,7 @@ def op9_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", F.coalesce("running", "digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op6_packing, op8_token_file, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op4_decontamination, op6_packing, op8_token_file, op9_warc)}
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {b}) & 31) + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))
 
@@ -69,6 +74,19 @@ SQL = {
             SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
         SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id, r.doc_id = min(r.other) AS kept
         FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op4_decontamination": """
+        WITH texts AS (
+            SELECT 0 AS of_item, doc_id AS id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+            UNION ALL
+            SELECT 1, item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') FROM benchmark),
+        shingles AS (
+            SELECT DISTINCT of_item, id, array_to_string(w[i:i + 4], ' ') AS s
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0)),
+        sizes AS (SELECT id AS item_id, count(*) AS n FROM shingles WHERE of_item = 1 GROUP BY 1)
+        SELECT c.doc_id, c.item_id, n AS n_shingles, c.m AS n_contained FROM (
+            SELECT d.id AS doc_id, b.id AS item_id, count(*) AS m
+            FROM shingles d JOIN shingles b ON d.s = b.s AND d.of_item = 0 AND b.of_item = 1 GROUP BY 1, 2) c
+        JOIN sizes USING (item_id) WHERE 100 * c.m >= 80 * n""",
     "op9_warc": f"""
         WITH d AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, h, min(page_id) OVER (PARTITION BY t) AS first_id
                    FROM (SELECT page_id, t, sha1(t) AS h FROM (SELECT page_id, coalesce(html, '') AS t FROM pages)))
