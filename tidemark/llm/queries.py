@@ -9,6 +9,7 @@ from .decontam import contaminated
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .packing import pack
+from .quality import classify_quality
 from .token_file import read_tokens, write_tokens
 from .warc import read_warc, write_warc
 
@@ -27,6 +28,10 @@ def op2_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op3_quality(spark, sf_dir):
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +51,7 @@ def op9_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", F.coalesce("running", "digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op4_decontamination, op6_packing, op8_token_file, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_decontamination, op6_packing, op8_token_file, op9_warc)}
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {b}) & 31) + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))
 
