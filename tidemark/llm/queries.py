@@ -11,6 +11,7 @@ from .near_dedup import near_dedup
 from .packing import pack
 from .quality import classify_quality
 from .token_file import read_tokens, write_tokens
+from .toxicity import score_toxicity
 from .warc import read_warc, write_warc
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -41,6 +42,10 @@ def op6_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_file(spark, sf_dir):
     manifest = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
     return read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -51,7 +56,7 @@ def op9_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", F.coalesce("running", "digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_decontamination, op6_packing, op8_token_file, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_decontamination, op6_packing, op7_toxicity, op8_token_file, op9_warc)}
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {b}) & 31) + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))
 
