@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from .chat import format_preferences
 from .decontam import contaminated
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
@@ -56,7 +57,11 @@ def op9_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", F.coalesce("running", "digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_decontamination, op6_packing, op7_toxicity, op8_token_file, op9_warc)}
+def op10_preferences(spark, sf_dir):
+    return format_preferences(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_decontamination, op6_packing, op7_toxicity, op8_token_file, op9_warc, op10_preferences)}
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {b}) & 31) + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))
 
@@ -104,4 +109,32 @@ SQL = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM d""",
+    "op10_preferences": """
+        WITH t AS (
+            SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role,
+                   '<|im_start|>' || coalesce(role, '') || chr(10) ||
+                   replace(replace(coalesce(text, ''), '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') ||
+                   '<|im_end|>' || chr(10) AS rendered
+            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        first AS (SELECT conv_id, arg_min(rendered, (turn, rendered)) AS f FROM t GROUP BY 1),
+        pairs AS (
+            SELECT chosen_id, rejected_id, CASE WHEN min(p) = 1 THEN 'opening' ELSE 'neighbour' END AS pairing FROM (
+                SELECT a.chosen_id, b.conv_id AS rejected_id, 1 AS p FROM first b
+                JOIN (SELECT f, min(conv_id) AS chosen_id FROM first GROUP BY 1) a ON a.f = b.f AND a.chosen_id <> b.conv_id
+                UNION ALL
+                SELECT a.conv_id, b.conv_id, 2 FROM first a JOIN first b ON a.conv_id % 2 = 0 AND b.conv_id = a.conv_id + 1)
+            GROUP BY 1, 2),
+        marks AS (SELECT conv_id, turn, list(rendered ORDER BY rendered) AS m FROM t GROUP BY 1, 2),
+        split AS (
+            SELECT chosen_id, rejected_id, min(turn) AS split FROM (
+                SELECT p.chosen_id, p.rejected_id, m.turn, m.m, count(*) OVER (PARTITION BY p.chosen_id, p.rejected_id, m.turn, m.m) AS same
+                FROM pairs p JOIN marks m ON m.conv_id IN (p.chosen_id, p.rejected_id))
+            WHERE same = 1 GROUP BY 1, 2),
+        cut AS (SELECT p.*, coalesce(s.split, 4611686018427387904) AS split FROM pairs p LEFT JOIN split s USING (chosen_id, rejected_id))
+        SELECT *, part <> 'prompt' AND role = 'assistant' AS loss FROM (
+            SELECT chosen_id, rejected_id, pairing, CASE WHEN turn < split THEN 'prompt' ELSE 'chosen' END AS part, turn, role, rendered
+            FROM cut JOIN t ON t.conv_id = chosen_id
+            UNION ALL
+            SELECT chosen_id, rejected_id, pairing, 'rejected', turn, role, rendered
+            FROM cut JOIN t ON t.conv_id = rejected_id AND turn >= split)""",
 }
