@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .packing import pack
 from .quality import classify_quality
+from .substring import repeated_passages
 from .token_file import read_tokens, write_tokens
 from .toxicity import score_toxicity
 from .warc import read_warc, write_warc
@@ -38,6 +39,10 @@ def op4_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark, sf_dir):
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -61,7 +66,7 @@ def op10_preferences(spark, sf_dir):
     return format_preferences(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_decontamination, op6_packing, op7_toxicity, op8_token_file, op9_warc, op10_preferences)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_decontamination, op5_substring, op6_packing, op7_toxicity, op8_token_file, op9_warc, op10_preferences)}
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {b}) & 31) + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))
 
