@@ -16,7 +16,9 @@ import pyarrow as pa
 from .kernels import LOWER, SPACE, span_hashes, text_chunks
 
 #: Bytes of text for which pieces are looked up at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+#: Pieces that the library encodes at a time: its results take far more room than their ids.
+ENCODE = 4096
 #: Distinct pieces that a worker keeps.
 CACHE = 1_500_000
 _LETTER = np.zeros(256, bool)
@@ -74,13 +76,13 @@ class PieceEncoder:
 
     def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Encode new pieces; ``keys`` are sorted and not known yet."""
-        raw = data.tobytes()
-        made = self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)
-        ids = [x.ids for x in made]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
-        if len(self.keys) + len(keys) > CACHE:
-            self.keys, self.at, self.length, self.store = self.keys[:0], self.at[:0], self.length[:0], self.store[:0]
+        lengths, flats = [], []
+        for at in range(0, len(keys), ENCODE):
+            some = zip(starts[at : at + ENCODE].tolist(), ends[at : at + ENCODE].tolist())
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast([data[a:b].tobytes().decode() for a, b in some], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flats.append(np.fromiter((i for x in ids for i in x), np.uint32, int(lengths[-1].sum())))
+        length, flat = np.concatenate(lengths), np.concatenate(flats)
         at = len(self.store) + np.cumsum(length) - length
         self.store = np.concatenate((self.store, flat))
         place = np.searchsorted(self.keys, keys)
