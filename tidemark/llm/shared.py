@@ -45,3 +45,14 @@ def drop_table(df: DataFrame) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Ids up to this many are sent to all executors; more of them are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not among ``ids``; rows of a null id stay."""
+    ids = write_table(ids.select(id_col).where(f"{id_col} IS NOT NULL").distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(ids.hint("broadcast") if few else ids, id_col, "left_anti").select(docs.columns)
