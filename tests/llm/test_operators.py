@@ -206,7 +206,7 @@ def test_decontamination_edges(spark):
 def test_compact_windows():
     rng = np.random.default_rng(2)
     for n, width in ((0, 3), (2, 3), (50, 1), (200, 7), (200, 46)):
-        values = rng.integers(0, 60, n).astype(np.uint64)
+        values = rng.integers(0, 400, n).astype(np.uint64)
         got = {tuple(x) for x in compact_windows(values, width).tolist()}
         for l, c, r in got:
             assert values[c] == values[l : r + 1].min() and r - l + 1 >= width
@@ -215,6 +215,7 @@ def test_compact_windows():
             c = i + int(values[i : i + width].argmin())
             assert sum(l <= i and i + width - 1 <= r and l <= x <= r and x == c for l, x, r in got) == 1
         if n >= width > 0:
+            assert len(compact_windows(np.zeros(5000, np.uint64), 46)) == 2
             assert sliding_minima(values, width).tolist() == [i + int(values[i : i + width].argmin()) for i in range(n - width + 1)]
 
 

@@ -21,14 +21,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def write_table(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    A lost executor then costs a re-read, not a recomputation of everything above.
+    A lost executor then costs a re-read, not a recomputation of everything above. With
+    ``batch_rows``, Python workers get so many rows at a time during this write: for wide rows.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, batch_rows or before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
