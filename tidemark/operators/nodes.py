@@ -224,7 +224,8 @@ def _per_time(nodes: DataFrame, field: DataFrame, value: str, out: str, kernel)
         have = dict(zip(slice_["cell"].tolist(), slice_["v"].tolist()))
         return pd.DataFrame({"time": own["time"], "cell": own["cell"], "_r": [float(kernel(have, c)) if c in have else None for c in own["cell"].tolist()]})
 
-    slices = field.where(F.col(value).isNotNull()).select("time", "cell", F.col(value).cast("double").alias("v"))
+    # fresh names: nodes often come from the same field
+    slices = field.where(F.col(value).isNotNull()).select(F.col("time").alias("time"), F.col("cell").alias("cell"), F.col(value).cast("double").alias("v"))
     time = dict(nodes.dtypes)["time"]
     return nodes.select("time", "cell").groupBy("time").cogroup(slices.groupBy("time")).applyInPandas(run, f"time {time}, cell int, _r double").withColumnRenamed("_r", out)
 

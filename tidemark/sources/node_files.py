@@ -24,7 +24,7 @@ def _moment(tokens: Column, first: int) -> Column:
 def _headed(spark: SparkSession, path: str, header: Column) -> DataFrame:
     """Lines with the header line above them, carried down within a file."""
     w = Window.partitionBy("path").orderBy("at")
-    rows = _lines(spark, path).withColumn("t", F.split(F.trim("line"), r"\s+")).withColumn("h", header)
+    rows = _lines(spark, path).withColumn("t", F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+")).withColumn("h", header)
     carried = rows.withColumn("block", F.sum(F.col("h").cast("int")).over(w)).withColumn("head", F.last(F.when(F.col("h"), F.col("t")), ignorenulls=True).over(w))
     return carried.where(~F.col("h"))
 

@@ -27,7 +27,7 @@ def persistent(stream: DataFrame, value: str, limit: float, least: int) -> DataF
     fewer than ``least``. Samples of a cell must come in order of time across batches.
     """
     schema = "cell int, time timestamp, value double"
-    state_schema = "n int, times array<double>, values array<double>"
+    state_schema = "n int, times array<long>, values array<double>"
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, times, values = state.get if state.exists else (0, [], [])
@@ -42,10 +42,10 @@ def persistent(stream: DataFrame, value: str, limit: float, least: int) -> DataF
             if n > least:
                 out.append((t, v))
                 continue
-            times.append(t.timestamp())
+            times.append(t.value // 1000)
             values.append(v)
             if n == least:
-                out += [(pd.Timestamp(x, unit="s"), y) for x, y in zip(times, values)]
+                out += [(pd.Timestamp(x, unit="us"), y) for x, y in zip(times, values)]
                 times, values = [], []
         state.update((n, times, values))
         yield pd.DataFrame({"cell": [key[0]] * len(out), "time": pd.Series([x[0] for x in out], dtype="datetime64[ns]"), "value": pd.Series([x[1] for x in out], dtype=float)})
