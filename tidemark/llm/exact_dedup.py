@@ -11,12 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import tidy
 from .shared import partitions, write_table
 
 SLOTS = 4
 KICKS = 128
 #: Rows of the input for one shard of the index: bounds a shard's memory.
 SHARD_ROWS = 250_000
+#: Rows of texts that a Python worker gets at a time.
+TEXT_ROWS = 2_000
 #: Partial groups in which the copies of one digest reach its shard.
 SALTS = 8
 
@@ -105,7 +108,7 @@ def content_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             made = [hashlib.sha256(memoryview(x.as_buffer())).digest() for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "digest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(digest, "doc_id long, digest binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(digest), "doc_id long, digest binary")
 
 
 def _merge(index: CuckooIndex, digest: bytes, doc_id, count: int) -> None:
@@ -183,7 +186,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    digests = write_table(content_digests(docs, id_col, text_col), "digests")
+    digests = write_table(content_digests(docs, id_col, text_col), "digests", TEXT_ROWS)
     shards = max(partitions(spark), -(-digests.count() // SHARD_ROWS))
     index = build_index(digests, shards)
     return digests.join(index, "digest", "left").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -6,7 +6,8 @@ the kernels work on UTF-8 bytes and never decode. Hashes are 64 bits wide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,3 +117,18 @@ def shingles(column: pa.Array, k: int, lower: bool = True) -> Iterator[tuple[int
                 yield row, mix(short.sum(keepdims=True) + U64(int(b - a)))
             else:
                 yield row, words[:0]
+
+
+def tidy(f: Callable) -> Callable:
+    """``f`` for mapInArrow; at its end the worker, which lives on for later tasks, gives freed
+    memory back to the system."""
+
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not the GNU library
+            pass
+
+    return run

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernels import mix, shingles
+from .kernels import mix, shingles, tidy
 from .shared import write_table
 
 BINS = 128
@@ -16,6 +16,8 @@ ROWS = 4
 BANDS = BINS // ROWS
 #: Ids up to this many go to all executors to pick texts; more of them are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Rows of texts, and of pairs of sets, that a Python worker gets at a time.
+TEXT_ROWS, PAIR_ROWS = 2_000, 500
 #: Most classes and most bytes of sets in one block of a bucket that stars left open.
 BLOCK_CLASSES = 512
 BLOCK_BYTES = 8 << 20
@@ -58,7 +60,7 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
                 bands.append(band_keys(one_permutation(found)) if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(sketch), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -69,7 +71,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             made = [np.unique(found) for _, found in shingles(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, made)), pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["id", "n", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(sets, "id long, n long, hashes binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(tidy(sets), "id long, n long, hashes binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -92,7 +94,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     fit = pairs.join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
     one = fit.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
     both = one.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").select("a", "b", "x", "y")
-    return both.mapInArrow(confirm, "a long, b long")
+    return both.mapInArrow(tidy(confirm), "a long, b long")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -166,7 +168,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     empty tables give empty results.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = write_table(sketches(docs, k), "sketches")
+    sketch = write_table(sketches(docs, k), "sketches", TEXT_ROWS)
     filled = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = write_table(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     member = classes.select(F.explode("bands").alias("key"), "rep")
@@ -174,8 +176,8 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     buckets = write_table(member.join(hubs, "key"), "buckets")
     pairs = write_table(buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     ids = write_table(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    sets = write_table(shingle_sets(texts_of(docs, ids, ids.count()), k), "sets")
-    links = write_table(linked(pairs, sets, percent), "links")
+    sets = write_table(shingle_sets(texts_of(docs, ids, ids.count()), k), "sets", TEXT_ROWS)
+    links = write_table(linked(pairs, sets, percent), "links", PAIR_ROWS)
     comps = connected_components(links)
     more = write_table(open_links(buckets, comps, sets, percent), "links")
     if not more.isEmpty():

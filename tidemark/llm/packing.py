@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import mix, span_hashes, text_chunks, word_spans
+from .kernels import mix, span_hashes, text_chunks, tidy, word_spans
 from .shared import partitions
 from .tokens import encoder
 
@@ -104,7 +104,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = 10
     n = partitions(spark)
     total = docs.count()
     stretches = max(4 * n, -(-total // STRETCH_DOCS))
-    cuts = docs.mapInArrow(keys, "k long").select(F.percentile_approx("k", [i / stretches for i in range(1, stretches)], 20 * stretches)).first()[0]
+    cuts = docs.mapInArrow(tidy(keys), "k long").select(F.percentile_approx("k", [i / stretches for i in range(1, stretches)], 20 * stretches)).first()[0]
     cuts = np.array(cuts or [], np.int64)
 
     def tokenize(batches):
@@ -153,5 +153,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = 10
             emit(pieces)
         yield flush()
 
-    made = docs.mapInArrow(tokenize, "stretch int, k long, doc_id long, width int, ids binary")
-    return made.repartition(n, "stretch").sortWithinPartitions("stretch", "k", "doc_id").mapInArrow(fill, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    made = docs.mapInArrow(tidy(tokenize), "stretch int, k long, doc_id long, width int, ids binary")
+    return made.repartition(n, "stretch").sortWithinPartitions("stretch", "k", "doc_id").mapInArrow(tidy(fill), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

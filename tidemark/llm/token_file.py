@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .kernels import tidy
 from .shared import new_path, partitions, write_table
 from .tokens import encoder
 
@@ -177,7 +178,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = chosen.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    files = write_table(dealt.mapInArrow(write, "path string, first_doc long, n_docs long, n_tokens long"), "manifest")
+    files = write_table(dealt.mapInArrow(tidy(write), "path string, first_doc long, n_docs long, n_tokens long"), "manifest")
     # one row a file
     before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -202,4 +203,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         start += len(ids)
 
     spread = manifest.select("path", "start").repartition(partitions(manifest.sparkSession), "path")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return spread.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids binary")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, mix, span_hashes, text_chunks, word_spans
+from .kernels import LOWER, mix, span_hashes, text_chunks, tidy, word_spans
 
 #: Labelled rows that terms and the classifier are learned from; the smallest hashes of doc_id.
 SAMPLE = 8_000
@@ -219,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear |
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(first, last - first), pa.array([keys[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), pa.array([whole[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["toxic", "keys", "whole"])
 
     joined = docs.where("doc_id IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    got = joined.mapInArrow(features, "toxic int, keys binary, whole binary").toPandas()
+    got = joined.mapInArrow(tidy(features), "toxic int, keys binary, whole binary").toPandas()
     toxic = got["toxic"].to_numpy(float)
     if not len(got) or toxic.min() == toxic.max():
         return None
@@ -233,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear |
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(votes(batch.column(0), shared.value))], ["mask"])
 
-    patterns = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(vote, "mask long").groupBy("mask").count().toPandas()
+    patterns = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(tidy(vote), "mask long").groupBy("mask").count().toPandas()
     masks = np.zeros(len(got), np.int64)
     at = _find(keys, terms.keys)
     np.bitwise_or.at(masks, rows[at >= 0], np.int64(1) << terms.voter[at[at >= 0]])
@@ -260,5 +260,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
             made = _scores(batch.column(1), shared.value) if shared.value is not None else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], ["doc_id", "score"])
 
-    made = docs.mapInArrow(run, "doc_id long, score double")
+    made = docs.mapInArrow(tidy(run), "doc_id long, score double")
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

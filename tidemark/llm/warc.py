@@ -17,6 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import tidy
 from .shared import new_path, partitions, write_table
 
 CHUNK = 256 << 10
@@ -38,7 +39,7 @@ def payload_digests(pages: DataFrame) -> DataFrame:
             raw = [b"" if not x.is_valid else memoryview(x.as_buffer()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array([_base32(hashlib.sha1(x).digest()) for x in raw])], ["page_id", "payload_bytes", "digest"])
 
-    return pages.select("page_id", "html").mapInArrow(digest, "page_id long, payload_bytes long, digest string")
+    return pages.select("page_id", "html").mapInArrow(tidy(digest), "page_id long, payload_bytes long, digest string")
 
 
 def _chunk_batch(rows: list[tuple], ids: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -74,7 +75,7 @@ def payload_chunks(pages: DataFrame) -> DataFrame:
         yield _chunk_batch(rows, list(_CHUNK_TYPES.values()), list(_CHUNK_TYPES))
 
     source = pages.select("page_id", F.monotonically_increasing_id().alias("row"), "url", "html")
-    return source.mapInArrow(split, "page_id long, row long, url string, digest string, payload_bytes long, chunk int, running binary, data binary")
+    return source.mapInArrow(tidy(split), "page_id long, row long, url string, digest string, payload_bytes long, chunk int, running binary, data binary")
 
 
 def _head(page, url, digest: str, size: int, refers_to) -> bytes:
@@ -132,7 +133,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = 0
 
     chunks = payload_chunks(pages)
     ready = chunks.join(revisits, ["page_id", "digest"], "left").select("page_id", "row", "url", "digest", "payload_bytes", "chunk", "refers_to", "data").sortWithinPartitions("page_id", "row", "chunk")
-    return write_table(ready.mapInArrow(write, "path string, n_records long"), "manifest")
+    return write_table(ready.mapInArrow(tidy(write), "path string, n_records long"), "manifest")
 
 
 class _Stream:
@@ -223,4 +224,4 @@ def read_warc(manifest: DataFrame, payload: bool = True) -> DataFrame:
         yield _chunk_batch(rows, list(_READ_TYPES.values()), list(_READ_TYPES))
 
     spread = manifest.select("path").repartition(partitions(manifest.sparkSession), "path")
-    return spread.mapInArrow(read, "page_id long, record_type string, refers_to long, url string, payload_bytes long, digest string, chunk int, last boolean, running string, data binary")
+    return spread.mapInArrow(tidy(read), "page_id long, record_type string, refers_to long, url string, payload_bytes long, digest string, chunk int, last boolean, running string, data binary")
