@@ -275,7 +275,7 @@ def test_packing(spark):
 
 def test_toxicity_held_out_and_edges(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = score_toxicity(docs, labels).join(labels, "doc_id").where("held_out AND lang_known IS NULL" if False else "held_out").toPandas()
+    got = score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
     assert hit >= 0.6 * (got.toxic == 1).sum() and hit >= 0.8 * (got.predicted == 1).sum()
     edges = {r.doc_id: r for r in score_toxicity(documents(spark, EDGES), labels.where("false")).collect()}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .kernels import LOWER, mix, span_hashes, text_chunks, tidy, word_spans
 
 #: Labelled rows that terms and the classifier are learned from; the smallest hashes of doc_id.
-SAMPLE = 8_000
+SAMPLE = 5_000
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6)
 #: A mined term is in so many toxic rows of the sample, and so many of its rows are toxic.
