@@ -150,6 +150,16 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(ids: DataFrame, key: str, out: str) -> DataFrame:
+    """``ids`` with their place (from 1) in the order of a distinct key, without one task that sees
+    all: ranks within ranges of the key, and the numbers of rows in the ranges before."""
+    dealt = _kept(ids.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
+    # one row a range
+    before = dealt.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
+    return ranked.join(F.broadcast(before), "_p").select(*ids.columns, (F.col("_k") + F.col("_base")).cast("long").alias(out))
+
+
 def objects(blobs: DataFrame, steps: DataFrame, grid: DataFrame, least_next: float = 0.0, least_prev: float = 0.0, most_next: float = 100.0, most_prev: float = 100.0) -> DataFrame:
     """(time, cell, blob, object_id): blobs linked over consecutive times where they overlap.
 
@@ -160,8 +170,7 @@ def objects(blobs: DataFrame, steps: DataFrame, grid: DataFrame, least_next: flo
     named = blobs.join(F.broadcast(steps), "time").withColumn("id", number("step", "blob"))
     pairs = links.select(number("step", "blob").alias("a"), ((F.col("step") - 1).cast("long") * 2**32 + F.col("prev")).alias("b"))
     found = link_components(pairs, named.select("id").distinct())
-    # one row an object
-    order = found.select("component").distinct().withColumn("object_id", F.row_number().over(Window.orderBy("component")).cast("long"))
+    order = numbered(found.select("component").distinct(), "component", "object_id")
     return named.join(found, "id").join(order, "component").select("time", "cell", "blob", "object_id")
 
 
