@@ -300,3 +300,26 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     got = {(r.cell, r.bucket): round(r.value, 6) for r in drain(streaming.accumulate(source(), "x", "1 day", "1 hour"), "days").collect()}
     want = {(r.cell, pd.Timestamp(r.bucket)): round(r.value, 6) for r in climate.accumulate(events, "x", "daily").collect()}
     assert got and all(want[k[0], pd.Timestamp(k[1])] == v for k, v in got.items())
+
+
+def test_parcels_go_back_along_the_equator(spark):
+    from tidemark.operators.parcels import back_trajectories
+
+    g = grid.lat_lon_grid(spark, 18, 36)
+    levels = spark.createDataFrame([(s, lev, 10.0 * (1 + lev / 1e5), 0.1) for s in (5, 4, 3) for lev in (2e4, 8e4)], "step int, lev double, u double, omega double")
+    winds = g.select("cell").join(levels).select("step", "cell", "lev", "u", F.lit(0.0).alias("v"), "omega")
+    start = spark.createDataFrame([(1, 2.0, 0.0, 5e4)], "id int, lon double, lat double, p double")
+    got = back_trajectories(start, winds, g, [5, 4, 3], 3600.0, 15.0).orderBy("step", ascending=False).collect()
+    step = np.degrees(15.0 * 3600 / geo.EARTH_RADIUS)
+    assert [r.step for r in got] == [5, 4, 3] and got[1].lon == pytest.approx((2.0 - step) % 360) and got[1].p == pytest.approx(5e4 - 360)
+    assert all(abs(r.lat) < 1e-9 for r in got)
+
+
+def test_cf_time(spark):
+    from tidemark.sources import cf_time
+
+    df = spark.createDataFrame([(36.0, "2001-02-03_04:05:06")], "x double, s string")
+    r = df.select(cf_time.decode("x", "hours since 1990-01-01 06:00").alias("t"), cf_time.decode_characters("s").alias("c")).withColumn("back", cf_time.encode("t", "days since 1990-01-01")).first()
+    assert str(r.t) == "1990-01-02 18:00:00" and str(r.c) == "2001-02-03 04:05:06" and r.back == pytest.approx(1.75)
+    with pytest.raises(ValueError):
+        cf_time.decode("x", "fortnights since 1990-01-01")

@@ -142,3 +142,29 @@ def region_of(points: DataFrame, regions: DataFrame, key: list[str]) -> DataFram
     small = regions if regions.count() > 10_000 else F.broadcast(regions)
     hit = points.join(small, geo.in_polygon("lon", "lat", "corners")).groupBy(*key).agg(F.min_by("name", "number").alias("region"))
     return points.join(hit, key, "left")
+
+
+def radial_points(nodes: DataFrame, step_deg: float, rings: int, rays: int) -> DataFrame:
+    """(step, cand, ix, iy, lon, lat): points on ``rings`` circles of ``rays`` points round each node;
+    ix is the ring (distance (ix + 0.5) * step_deg), iy the ray, from north clockwise."""
+    p = nodes.select("step", "cand", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"), F.explode(F.sequence(F.lit(0), F.lit(rings - 1))).alias("ix")).withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))))
+    flat = 2 * F.tan(F.radians((F.col("ix") + 0.5) * step_deg) / 2)
+    turn = F.radians(F.col("iy") * (360.0 / rays))
+    lon, lat = geo.stereographic_inverse(flat * F.sin(turn), flat * F.cos(turn), "lon0", "lat0")
+    return p.select("step", "cand", "ix", "iy", lon.alias("lon"), lat.alias("lat"))
+
+
+def lon_lat_points(nodes: DataFrame, step_deg: float, half: int) -> DataFrame:
+    """(step, cand, ix, iy, lon, lat): points on an even longitude-latitude square round each node;
+    those beyond the poles are left out."""
+    axis = F.sequence(F.lit(-half), F.lit(half))
+    p = nodes.select("step", "cand", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"), F.explode(axis).alias("ix")).withColumn("iy", F.explode(axis))
+    return p.select("step", "cand", "ix", "iy", geo.norm_lon(F.col("lon0") + F.col("ix") * step_deg).alias("lon"), (F.col("lat0") + F.col("iy") * step_deg).alias("lat")).where("abs(lat) <= 90")
+
+
+def snapshots(points: DataFrame, field: DataFrame, grid: DataFrame, reach: float) -> DataFrame:
+    """(step, cand, ix, iy, x): the field at the nearest cell within ``reach`` of each point."""
+    near = within(points, grid.select("cell", "lon", "lat"), reach)
+    w = Window.partitionBy("step", "cand", "ix", "iy").orderBy("dist", "cell")
+    one = near.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("step", "cand", "ix", "iy", "cell")
+    return one.join(field, ["step", "cell"]).select("step", "cand", "ix", "iy", "x")

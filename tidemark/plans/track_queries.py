@@ -194,3 +194,28 @@ def nearest_cell(spark, sf_dir):
     near = within(x.candidates(spark, sf_dir), x.the_grid(spark).select("cell", "lon", "lat"), 22.0)
     w = Window.partitionBy("step", "cand").orderBy(F.round("dist", 9), "cell")
     return near.withColumn("k", F.row_number().over(w)).where("k = 1").select("step", "cand", "cell", F.round("dist", 6).alias("dist"))
+
+
+@query()
+def composite_radial(spark, sf_dir):
+    points = p.radial_points(x.candidates(spark, sf_dir), 10.0, 3, 8)
+    return p.snapshots(points, step_field(spark, sf_dir), x.the_grid(spark), 22.0)
+
+
+@query()
+def composite_lon_lat(spark, sf_dir):
+    points = p.lon_lat_points(x.candidates(spark, sf_dir), 10.0, 2)
+    return p.snapshots(points, step_field(spark, sf_dir), x.the_grid(spark), 22.0).groupBy("ix", "iy").agg(F.avg("x").alias("mean"), F.count("x").alias("count"))
+
+
+@query()
+def back_trajectories(spark, sf_dir):
+    from ..operators.parcels import back_trajectories as run
+
+    items = x.table(spark, sf_dir, "lineitem")
+    step = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int")
+    cell = ((F.col("l_suppkey") % 12) * 24 + (F.col("l_partkey") * 7 + F.col("l_linenumber") * 5) % 24).cast("int")
+    winds = items.groupBy(step.alias("step"), cell.alias("cell"), ((F.col("l_linenumber") % 3) * 30000 + 20000).cast("double").alias("lev")).agg(F.avg(F.col("l_quantity") - 25).alias("u"), F.avg(F.col("l_discount") * 100 - 5).alias("v"), F.avg(F.col("l_tax") - 0.04).alias("omega"))
+    last = 1998 * 12 + 6
+    parcels = x.candidates(spark, sf_dir).where(F.col("step") == last).select(F.col("cand").alias("id"), "lon", "lat", F.lit(50000.0).alias("p"))
+    return run(parcels, winds, x.the_grid(spark), list(range(last, last - 6, -1)), 43200.0, 22.0)
