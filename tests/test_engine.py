@@ -323,3 +323,22 @@ def test_cf_time(spark):
     assert str(r.t) == "1990-01-02 18:00:00" and str(r.c) == "2001-02-03 04:05:06" and r.back == pytest.approx(1.75)
     with pytest.raises(ValueError):
         cf_time.decode("x", "fortnights since 1990-01-01")
+
+
+def test_shapefile(spark, tmp_path):
+    from tidemark.sources import shapes
+
+    def polygon(number, parts):
+        points = [p for part in parts for p in part]
+        starts = np.cumsum([0, *(len(part) for part in parts[:-1])]).astype("<i4").tobytes()
+        body = struct.pack("<i4dii", 5, 0, 0, 1, 1, len(parts), len(points)) + starts + np.array(points, "<f8").tobytes()
+        return struct.pack(">ii", number, len(body) // 2) + body
+
+    square = lambda x: [(x, 0), (x, 1), (x + 1, 1), (x + 1, 0), (x, 0)]
+    records = polygon(1, [square(10.0)]) + polygon(2, [square(20.0), square(30.0)]) + struct.pack(">ii", 3, 2) + struct.pack("<i", 0)
+    (tmp_path / "a.shp").write_bytes(struct.pack(">i", 9994) + bytes(96) + records)
+    got = shapes.read_shapes(spark, str(tmp_path / "a.shp")).orderBy("number", "part").collect()
+    assert [(r.number, r.part, r.corners[0].lon, len(r.corners)) for r in got] == [(1, 0, 10.0, 5), (2, 0, 20.0, 5), (2, 1, 30.0, 5)]
+    (tmp_path / "b.shp").write_bytes(bytes(200))
+    with pytest.raises(Exception, match="not a shapefile"):
+        shapes.read_shapes(spark, str(tmp_path / "b.shp")).collect()
