@@ -370,3 +370,58 @@ def test_pipeline(spark, tmp_path):
     assert held and set(clean) == set(near) - held
     assert {r.doc_id for r in steps[-1].select("doc_id").distinct().collect()} == set(clean)
     db.close()
+
+
+def test_word_model_against_plain_sums(spark):
+    """Shares, back-off and perplexity of the joined tables, against dictionaries."""
+    from tidemark.llm.word_model import WORD_ORDER, discounts, document_grams, word_perplexities, word_tables
+
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choices("the of a cat dog sat on Ärger 猫 x1".split(), k=n))
+    known, asked = [text(60) for _ in range(9)], [text(40), "the cat unseen sat", " \n", "the " * 30, ""]
+    schema = "text_key long, side int, text string"
+    tables, unseen = word_tables(document_grams(spark.createDataFrame([(i, 0, t) for i, t in enumerate(known)], schema)))
+    got = {r.text_key: r.perplexity for r in word_perplexities(document_grams(spark.createDataFrame([(i, 0, t) for i, t in enumerate(asked)], schema)), tables, unseen).collect()}
+    pad = lambda t: ["<s>"] * (WORD_ORDER - 1) + t.split() + ["</s>"]
+    runs = lambda t: [tuple(pad(t)[i : i + WORD_ORDER]) for i in range(len(pad(t)) - WORD_ORDER + 1)]
+    levels = [defaultdict(int)]
+    for t in known:
+        for g in runs(t):
+            levels[0][g] += 1
+    for _ in range(WORD_ORDER - 1):
+        levels.append(defaultdict(int))
+        for g in levels[-2]:
+            levels[-1][g[1:]] += 1
+    cuts = [discounts({i: sum(c == i for c in x.values()) for i in range(1, 5)}) for x in levels]
+
+    def p(gram, depth=0):
+        if depth == WORD_ORDER:
+            return 1 / (len(levels[-1]) + 1)
+        after = [c for g, c in levels[depth].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:], depth + 1)
+        cut = lambda c: cuts[depth][min(c, 3) - 1] if c else 0
+        own = levels[depth].get(gram, 0)
+        return (own - cut(own)) / sum(after) + sum(map(cut, after)) / sum(after) * p(gram[1:], depth + 1)
+
+    want = {i: np.exp(-np.mean([np.log(p(g)) for g in runs(t)])) for i, t in enumerate(asked) if t}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+
+def test_quality_sees_word_order(spark):
+    rng = random.Random(8)
+    follow = {i: rng.sample(range(40), 2) for i in range(40)}
+
+    def prose(n):
+        at, out = rng.randrange(40), []
+        for _ in range(n):
+            out.append(f"w{at}")
+            at = rng.choice(follow[at])
+        return out
+
+    good = [prose(120) for _ in range(160)]
+    mixed = [rng.sample(x, len(x)) for x in good[:20]]
+    docs = documents(spark, [(i, " ".join(x)) for i, x in enumerate(good + mixed)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in classify_quality(docs, labels).collect()}
+    assert sum(got[i].kept for i in range(160)) >= 150 and not any(got[i].kept for i in range(160, 180)), [got[i] for i in (0, 1, 160, 161, 162)]

@@ -1,8 +1,9 @@
-"""Quality classifier: interpolated modified Kneser-Ney over symbols, trained on trusted text.
+"""Quality classifier: a Kneser-Ney model of words (``word_model``), trained on trusted text.
 
-The model runs over the bytes of a text folded into SYMBOLS classes, so an order-ORDER table
-has SYMBOLS ** ORDER entries at most, whatever the corpus: that bound is what makes it fit to
-be handed to every task.
+Trusted text is halved by text, and each text is scored by the half that it would not be in:
+limits come from texts that the model hasn't seen, and copies of trusted texts have no
+advantage. The symbol model (:func:`kneser_ney`, :func:`perplexities`) is bounded whatever the
+corpus and isn't used by the classifier.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import text_chunks, tidy
+from .kernels import text_chunks
 from .shared import write_table
+from .word_model import discounts, document_grams, word_perplexities, word_tables
 
 SYMBOLS, ORDER = 48, 4
 #: Trusted ids up to this many go to all executors; more of them are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 CHUNK = 1 << 20
-#: Rows of texts that a Python worker gets at a time.
+#: Rows of a table that a Python worker gets at a time.
 TEXT_ROWS = 2_000
 
 CLASS = np.full(256, 37, np.int32)
@@ -49,33 +51,6 @@ def symbol_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return gram
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, c) over all texts: dense sums within a task, then one shuffle on the gram."""
-
-    def count(batches):
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0), CHUNK):
-                total += np.bincount(symbol_grams(data, offsets), minlength=len(total))
-        seen = np.flatnonzero(total)
-        for at in range(0, len(seen), 100_000):
-            part = seen[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["gram", "c"])
-
-    return docs.select("text").mapInArrow(tidy(count), "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
-def discounts(of_counts: dict[int, int]) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from the numbers of
-    grams with counts of 1 to 4; where those are too few for it, half the count."""
-    n = [of_counts.get(i, 0) for i in range(1, 5)]
-    if not n[0] or not n[1]:
-        return [0.5, 1.0, 1.5]
-    y = n[0] / (n[0] + 2 * n[1])
-    made = [(i + 1) - (i + 2) * y * n[i + 1] / n[i] if n[i] else (i + 1) / 2 for i in range(3)]
-    return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(made)]
-
-
 def kneser_ney(counts: DataFrame) -> np.ndarray:
     """log p(last symbol | those before) of every ORDER-gram.
 
@@ -121,20 +96,14 @@ def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """The model of all texts of ``docs`` (doc_id, text) that ``labels`` calls good."""
-    return kneser_ney(gram_counts(_trusted(docs, labels).select("text")))
-
-
-def score(docs: DataFrame, model) -> DataFrame:
-    """(doc_id, lang, perplexity) of whole texts; ``model`` is a broadcast of :func:`train`."""
-
-    def run(batches):
-        for batch in batches:
-            made = perplexities(batch.column(2), model.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, from_pandas=True)], ["doc_id", "lang", "perplexity"])
-
-    return docs.select("doc_id", "lang", "text").mapInArrow(tidy(run), "doc_id long, lang string, perplexity double")
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang, text_key, perplexity) of ``docs`` (doc_id, lang, text), by models of all
+    texts that ``labels`` calls good."""
+    keyed = docs.withColumn("text_key", F.xxhash64("text")).withColumn("half", F.col("text_key").bitwiseAND(1))
+    trained = _trusted(keyed, labels).withColumn("side", F.col("half"))
+    tables, unseen = word_tables(document_grams(trained))
+    found = write_table(word_perplexities(document_grams(keyed.withColumn("side", 1 - F.col("half"))), tables, unseen), "perplexities")
+    return keyed.select("doc_id", "lang", "text_key").join(found, "text_key", "left").select("doc_id", "lang", "text_key", "perplexity")
 
 
 def language_limits(scores: DataFrame, labels: DataFrame, quantile: float) -> tuple[DataFrame, float | None]:
@@ -148,39 +117,34 @@ def _chosen(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
 
-def _model_and_limits(docs: DataFrame, labels: DataFrame, quantile: float):
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    scores = write_table(score(docs, model), "scores", TEXT_ROWS)
+def _verdicts(docs: DataFrame, labels: DataFrame, quantile: float) -> DataFrame:
+    scores = write_table(score(docs, labels), "scores")
     limits, pooled = language_limits(scores, labels, quantile)
     limits = write_table(limits, "limits")
-    return model, scores, (F.broadcast(limits) if limits.count() <= 10_000 else limits), pooled
+    limits = F.broadcast(limits) if limits.count() <= 10_000 else limits
+    found = scores.join(limits, "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(pooled).cast("double")))
+    return found.withColumn("kept", F.coalesce(F.col("perplexity") <= F.coalesce("limit", F.lit(float("inf"))), F.lit(False)))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, lang, perplexity, limit, kept.
 
-    The model learns all texts with quality 1 in ``labels`` (doc_id, quality). A document is
-    kept when its perplexity a symbol is at most its language's limit: the ``quantile`` of the
+    The models learn all texts with quality 1 in ``labels`` (doc_id, quality). A document is
+    kept when its perplexity a word is at most its language's limit: the ``quantile`` of the
     trusted documents in that language, or of all of them for a language without any and for
     a null one. Without trusted text there is no limit and every text is kept. Null and empty
     texts have no perplexity and aren't kept. Repeated rows are scored each. Other columns are
     not read; an empty table gives an empty result.
     """
-    _, scores, limits, pooled = _model_and_limits(_chosen(docs, id_col, text_col, lang_col), labels, quantile)
-    found = scores.join(limits, "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(pooled).cast("double")))
-    return found.select("doc_id", "lang", "perplexity", "limit", F.coalesce(F.col("perplexity") <= F.coalesce("limit", F.lit(float("inf"))), F.lit(False)).alias("kept"))
+    found = _verdicts(_chosen(docs, id_col, text_col, lang_col), labels, quantile)
+    return found.select("doc_id", "lang", "perplexity", "limit", "kept")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang and what else there is) that the classifier
-    keeps, with all their columns; texts stay where they are and are scored again."""
-    model, _, limits, pooled = _model_and_limits(_chosen(docs, "doc_id", "text", "lang"), labels, quantile)
-    with_limit = docs.join(limits.select("lang", F.col("limit").alias("_limit")), "lang", "left").select(*docs.columns, F.coalesce("_limit", F.lit(pooled).cast("double"), F.lit(float("inf"))).alias("_limit"))
-    text, names = docs.columns.index("text"), docs.columns
-
-    def keep(batches):
-        for batch in batches:
-            good = perplexities(batch.column(text), model.value) <= batch.column(len(names)).to_numpy(zero_copy_only=False)
-            yield batch.select(names).filter(pa.array(good))
-
-    return with_limit.mapInArrow(tidy(keep), docs.schema)
+    keeps, with all their columns; texts stay where they are unless many are rejected."""
+    found = _verdicts(_chosen(docs, "doc_id", "text", "lang"), labels, quantile)
+    bad = write_table(found.where("NOT kept").select(F.col("text_key").alias("_bad"), F.col("lang").alias("_lang")).distinct(), "rejected")
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    same = (keyed["_key"] == bad["_bad"]) & keyed["lang"].cast("string").eqNullSafe(bad["_lang"])
+    return keyed.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, same, "left_anti").select(docs.columns)

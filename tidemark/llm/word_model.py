@@ -1,0 +1,122 @@
+"""Interpolated modified Kneser-Ney over words, in tables that are joined by shuffle.
+
+Counts, discounted shares, back-off weights and the probabilities of what is asked for are
+tables keyed by hashes of grams and of their contexts. Vocabulary and tables grow with the
+text; the driver gets discounts and the size of the vocabulary only.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .kernels import mix, run_hashes, span_hashes, text_chunks, tidy, word_spans
+from .shared import write_table
+
+WORD_ORDER = 3
+#: Rows of texts that a Python worker gets at a time.
+TEXT_ROWS = 500
+_START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_SIDE = np.random.default_rng(7).integers(1, 2**63, 2, dtype=np.uint64)
+
+
+def padded_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes, case kept, each row behind WORD_ORDER - 1 marks of the start and before one
+    of the end, and the row of each; rows without bytes have none."""
+    starts, ends, head = word_spans(data, offsets)
+    filled = np.diff(offsets) > 0
+    size = np.where(filled, np.diff(head) + WORD_ORDER, 0)
+    row = np.repeat(np.arange(len(size)), size)
+    out = np.full(len(row), _START)
+    last = np.cumsum(size)
+    out[last[filled] - 1] = _END
+    at = np.arange(len(starts))
+    words = np.repeat(np.arange(len(size)), np.diff(head))
+    out[at - head[words] + (last - size)[words] + WORD_ORDER - 1] = span_hashes(data, starts, ends)
+    return out, row
+
+
+def document_grams(docs: DataFrame) -> DataFrame:
+    """(text_key, n, g1, x1, g2, x2, ...): the grams that end at each word of ``docs``
+    (text_key, side, text), once a text with their number. g is a gram of so many words and x
+    the words before its last; both are hashed with the side, x1 is the side itself."""
+    orders = range(1, WORD_ORDER + 1)
+    names = ["text_key", "n", *(f"{c}{i}" for i in orders for c in "gx")]
+
+    def run(batches):
+        for batch in batches:
+            side_of = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, last, data, offsets in text_chunks(batch.column(2)):
+                line, row = padded_words(data, offsets)
+                side = side_of[first:last][row]
+                runs = [mix(run_hashes(line, i) ^ _SIDE[side[i - 1 :]]) for i in orders]
+                at = np.arange(WORD_ORDER - 1, len(line))
+                at = at[row[at] == row[at - WORD_ORDER + 1]] if len(at) else at
+                top = runs[-1][at - WORD_ORDER + 1]
+                order = np.lexsort((top, row[at]))
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(row[at][order]) != 0) | (top[order][1:] != top[order][:-1])
+                n = np.diff(np.append(np.flatnonzero(new), len(at)))
+                at = at[order][new]
+                key = batch.column(0).slice(first, last - first).take(pa.array(row[at]))
+                found = [side[at]] + [x[at - i].view(np.int64) for i, x in enumerate(runs)]
+                past = [side[at]] + [runs[i - 1][at - i].view(np.int64) for i in range(1, WORD_ORDER)]
+                columns = [c for g, x in zip(found[1:], past) for c in (pa.array(g), pa.array(x))]
+                yield pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), *columns], names)
+
+    return docs.select("text_key", "side", "text").mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
+
+
+def _by_gram(grams: DataFrame, order: int, count) -> DataFrame:
+    """One row a gram of ``order`` words, with its shorter ones and their contexts."""
+    rest = [f"x{order}"] + [f"{c}{i}" for i in range(order - 1, 0, -1) for c in "gx"]
+    return grams.groupBy(f"g{order}").agg(*(F.first(c).alias(c) for c in rest), count.alias("c"))
+
+
+def discounts(of_counts: dict[int, int]) -> list[float]:
+    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from the numbers of
+    grams with counts of 1 to 4; where those are too few for it, half the count."""
+    n = [of_counts.get(i, 0) for i in range(1, 5)]
+    if not n[0] or not n[1]:
+        return [0.5, 1.0, 1.5]
+    y = n[0] / (n[0] + 2 * n[1])
+    made = [(i + 1) - (i + 2) * y * n[i + 1] / n[i] if n[i] else (i + 1) / 2 for i in range(3)]
+    return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(made)]
+
+
+def word_tables(grams: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], float]:
+    """For each order from 1 up, the (g, share) of seen grams and (x, rest) of seen contexts;
+    and the probability of a word below all orders, one of the larger side's vocabulary and an
+    unseen word. Counts below the highest order are continuation counts."""
+    out = []
+    for order in range(WORD_ORDER, 0, -1):
+        counts = write_table(_by_gram(grams, order, F.sum("n") if order == WORD_ORDER else F.count("*")), f"counts{order}")
+        g, x = f"g{order}", f"x{order}"
+        d = discounts({r["c"]: r["n"] for r in counts.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()})
+        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        totals = write_table(counts.groupBy(x).agg(F.sum("c").alias("total"), F.sum(cut).alias("left")), f"totals{order}")
+        share = counts.select(g, x, ((F.col("c") - cut)).alias("own")).join(totals, x).select(g, (F.col("own") / F.col("total")).alias("share"))
+        out.append((write_table(share, f"shares{order}"), totals.select(x, (F.col("left") / F.col("total")).alias("rest"))))
+        grams = counts
+    words = max([r["count"] for r in counts.groupBy("x1").count().collect()], default=0)
+    return out[::-1], 1 / (words + 1)
+
+
+def word_perplexities(grams: DataFrame, tables: list[tuple[DataFrame, DataFrame]], unseen: float) -> DataFrame:
+    """(text_key, perplexity) a word. Each distinct gram is looked up once, from single words
+    up, by joins on gram and context; documents' grams are joined with the result."""
+    asked, wanted = [], grams
+    for order in range(WORD_ORDER, 0, -1):
+        wanted = write_table(_by_gram(wanted, order, F.count("*")).drop("c"), f"asked{order}")
+        asked.append(wanted)
+    below = None
+    for order, wanted, (share, rest) in zip(range(1, WORD_ORDER + 1), asked[::-1], tables):
+        g, x = f"g{order}", f"x{order}"
+        lower = wanted.select(g, x).withColumn("below", F.lit(unseen)) if below is None else wanted.select(g, x, f"g{order - 1}").join(below, f"g{order - 1}")
+        p = F.coalesce("share", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("below")
+        below = write_table(lower.join(rest, x, "left").join(share, g, "left").select(g, p.alias("below")), f"asked{order}")
+    each = grams.select("text_key", "n", g).join(below, g)
+    total = each.groupBy("text_key").agg(F.sum(F.col("n") * F.log("below")).alias("log"), F.sum("n").alias("n"))
+    return total.select("text_key", F.exp(-F.col("log") / F.col("n")).alias("perplexity"))
