@@ -425,3 +425,27 @@ def test_quality_sees_word_order(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in classify_quality(docs, labels).collect()}
     assert sum(got[i].kept for i in range(160)) >= 150 and not any(got[i].kept for i in range(160, 180)), [got[i] for i in (0, 1, 160, 161, 162)]
+
+
+def _words(rng, n):
+    return ["".join(rng.choices("abcdefgh", k=8)) for _ in range(n)]
+
+
+def _digest(words):
+    return int.from_bytes(hashlib.sha256(" ".join(words).encode()).digest()[:8], "little", signed=True)
+
+
+def test_passage_inside_a_near_copy(spark):
+    """B has a quote of A; A's near copy, edited in the quote, covers A's side of it only."""
+    rng = random.Random(12)
+    rows, groups = [], 8
+    for group in range(groups):
+        while True:
+            head, quote, tail = _words(rng, 400), _words(rng, 60), _words(rng, 400)
+            a, b = head + quote + tail, _words(rng, 50) + quote + _words(rng, 50)
+            copy = head + quote[:20] + _words(rng, 1) + quote[21:40] + _words(rng, 1) + quote[41:] + tail
+            if _digest(b) < _digest(copy) < _digest(a):
+                break
+        rows += [(10 * group + i, " ".join(x)) for i, x in enumerate((a, copy, b))]
+    got = repeated_passages(documents(spark, rows)).collect()
+    assert {10 * g + 2 for g in range(groups)} <= {x for r in got for x in (r.doc_id, r.other_id)}
