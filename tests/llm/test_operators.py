@@ -449,3 +449,20 @@ def test_passage_inside_a_near_copy(spark):
         rows += [(10 * group + i, " ".join(x)) for i, x in enumerate((a, copy, b))]
     got = repeated_passages(documents(spark, rows)).collect()
     assert {10 * g + 2 for g in range(groups)} <= {x for r in got for x in (r.doc_id, r.other_id)}
+
+
+def test_passages_of_a_repeated_phrase():
+    """Any stretch of a text that repeats a phrase, copied into another text."""
+    from tidemark.llm.substring import FUNCTIONS, shared_passages, token_values
+
+    rng, width = np.random.default_rng(9), 46
+    windows = lambda x: np.concatenate([np.insert(compact_windows(token_values(x, f), width), 0, f, axis=1) for f in range(FUNCTIONS)])
+    fresh = lambda n: rng.integers(1, 2**63, n, dtype=np.uint64)
+    for period in (1, 7, 29, 40):
+        x = np.concatenate([fresh(20), np.tile(fresh(period), 400 // period), fresh(20)])
+        for at in rng.integers(20, 300, 12).tolist():
+            y = np.concatenate([fresh(30), x[at : at + 50], fresh(30)])
+            for one, two in ((x, y), (y, x)):
+                found = shared_passages(one, windows(one), two, windows(two), width, 80)
+                a, b = (0, 1) if one is y else (2, 3)
+                assert any(p[a] <= 30 and p[b] >= 79 for p in found), (period, at)
