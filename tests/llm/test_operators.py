@@ -466,3 +466,18 @@ def test_passages_of_a_repeated_phrase():
                 found = shared_passages(one, windows(one), two, windows(two), width, 80)
                 a, b = (0, 1) if one is y else (2, 3)
                 assert any(p[a] <= 30 and p[b] >= 79 for p in found), (period, at)
+
+
+def test_passages_that_their_hub_lacks(spark):
+    """The hub of their keys has too little of a passage that two others share."""
+    rng = random.Random(14)
+    rows, groups = [], 12
+    for group in range(groups):
+        while True:
+            quote = _words(rng, 50)
+            a, b, hub = (_words(rng, 40) + part + _words(rng, 40) for part in (quote, quote, quote[3:46]))
+            if _digest(hub) < min(_digest(a), _digest(b)):
+                break
+        rows += [(10 * group + i, " ".join(x)) for i, x in enumerate((a, b, hub))]
+    got = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in repeated_passages(documents(spark, rows)).collect()}
+    assert {(10 * g, 10 * g + 1) for g in range(groups)} <= got
