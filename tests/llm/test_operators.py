@@ -481,3 +481,17 @@ def test_passages_that_their_hub_lacks(spark):
         rows += [(10 * group + i, " ".join(x)) for i, x in enumerate((a, b, hub))]
     got = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in repeated_passages(documents(spark, rows)).collect()}
     assert {(10 * g, 10 * g + 1) for g in range(groups)} <= got
+
+
+def test_toxicity_of_terms_rarer_than_the_sample(spark):
+    rng = random.Random(15)
+    plain, vile = _words(rng, 300), _words(rng, 12)
+    rare = _words(rng, 6)
+    rows = []
+    for i in range(4000):
+        bad = i % 5 == 0
+        rows.append((i, " ".join(rng.sample(plain, 20) + (rng.sample(vile, 1) * 2 if bad else [])), int(bad)))
+    rows += [(5000 + i, " ".join(rng.sample(plain, 20) + [rare[i % 6]] * 2), 1) for i in range(72)]
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = score_toxicity(documents(spark, [r[:2] for r in rows]), labels, sample=400).where("held_out").toPandas()
+    assert got[got.doc_id >= 5000].predicted.mean() > 0.8 and got[(got.doc_id < 5000) & (got.doc_id % 5 != 0)].predicted.mean() < 0.05

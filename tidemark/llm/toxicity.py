@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, mix, span_hashes, text_chunks, tidy, word_spans
+from .shared import write_table
 
-#: Labelled rows that terms and the classifier are learned from; the smallest hashes of doc_id.
-SAMPLE = 5_000
+#: Labelled rows that the classifier is learned from; the smallest hashes of doc_id.
+SAMPLE = 8_000
+#: Candidate terms up to this many go to all executors; more of them are joined by shuffle.
+BROADCAST_TERMS = 500_000
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6)
-#: A mined term is in so many toxic rows of the sample, and so many of its rows are toxic.
+#: A mined term is in so many toxic labelled rows, and so many of its rows are toxic.
 LEAST_ROWS, LEAST_SHARE = 4, 0.9
 
 # General insults of four languages, by what they aim at.
@@ -88,19 +91,41 @@ def votes(column: pa.Array, terms: Terms) -> np.ndarray:
     return out
 
 
-def mine_terms(rows: np.ndarray, keys: np.ndarray, whole: np.ndarray, toxic: np.ndarray) -> Terms:
-    """Fixed lexicons and, from the labelled sample, terms that toxic rows have to themselves."""
+def toxic_terms(labelled: DataFrame) -> DataFrame:
+    """(key, word) of the terms that the toxic rows of ``labelled`` (toxic, text) have to
+    themselves. Terms are counted in toxic rows first, and in all rows where those suffice."""
+
+    def features(batches):
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                rows, keys = _features(data, offsets)
+                words = int(np.diff(word_spans(LOWER[data], offsets, _GAP)[2]).sum())
+                whole = np.arange(len(keys)) < words
+                order = np.lexsort((keys, rows))
+                new = np.ones(len(keys), bool)
+                new[1:] = (np.diff(rows[order]) != 0) | (keys[order][1:] != keys[order][:-1])
+                found, index = np.unique(keys, return_inverse=True)
+                in_rows = np.bincount(index[order][new], minlength=len(found))
+                is_word = np.bincount(index, whole, minlength=len(found)) > 0
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(in_rows, pa.int64()), pa.array(is_word)], ["key", "n", "word"])
+
+    count = lambda rows: rows.select("text").mapInArrow(tidy(features), "key long, n long, word boolean")
+    bad = write_table(count(labelled.where("toxic = 1")).groupBy("key").agg(F.sum("n").alias("bad"), F.max("word").alias("word")).where(F.col("bad") >= LEAST_ROWS), "terms")
+    keys = bad.select("key")
+    other = count(labelled.where("toxic = 0")).join(F.broadcast(keys) if keys.count() <= BROADCAST_TERMS else keys, "key", "left_semi").groupBy("key").agg(F.sum("n").alias("good"), F.max("word").alias("also"))
+    total = F.col("bad") + F.coalesce("good", F.lit(0))
+    return bad.join(other, "key", "left").where(F.col("bad") >= LEAST_SHARE * total).select("key", (F.col("word") | F.coalesce("also", F.lit(False))).alias("word"))
+
+
+def mine_terms(found: np.ndarray, is_word: np.ndarray) -> Terms:
+    """Fixed lexicons and the mined terms (:func:`toxic_terms`) with their voters."""
     key, voter = [], []
     for number, words in enumerate(LEXICONS):
         for word in words.split():
             key.append(word_key(word))
             voter.append(number)
-    found, index = np.unique(keys, return_inverse=True)
-    all_, bad = np.bincount(index, minlength=len(found)), np.bincount(index, toxic[rows], minlength=len(found))
-    is_word = np.zeros(len(found), bool)
-    is_word[index[whole]] = True
-    good = (bad >= LEAST_ROWS) & (bad >= LEAST_SHARE * all_) & ~np.isin(found, np.array(key, np.uint64))
-    for k, word in zip(found[good], is_word[good]):
+    fresh = ~np.isin(found, np.array(key, np.uint64))
+    for k, word in zip(found[fresh], is_word[fresh]):
         key.append(k)
         voter.append(len(LEXICONS) + (int(k % np.uint64(MINED_WORDS)) if word else MINED_WORDS + int(k % np.uint64(MINED_PREFIXES))))
     key, voter = np.array(key, np.uint64), np.array(voter, np.int64)
@@ -108,6 +133,14 @@ def mine_terms(rows: np.ndarray, keys: np.ndarray, whole: np.ndarray, toxic: np.
     return Terms(key[order], voter[order])
 
 
+def _with_voters(rows: np.ndarray, keys: np.ndarray, terms: Terms) -> tuple[np.ndarray, np.ndarray]:
+    """``rows`` and ``keys`` with a feature for each voter whose terms a row has, once a row: by
+    it terms count that are too rare for a weight of their own."""
+    at = _find(keys, terms.keys)
+    pair = np.unique(rows[at >= 0] * np.int64(VOTERS) + terms.voter[at[at >= 0]])
+    return np.append(rows, pair // VOTERS), np.append(keys, mix((pair % VOTERS).astype(np.uint64) + np.uint64(0x5EED)))
+
+
 @dataclass
 class LabelModel:
     """P(vote | class) of each voter, the share of toxic rows, and each voter's weight: what
@@ -154,9 +187,10 @@ class Linear:
     keys: np.ndarray
     weight: np.ndarray
     bias: float
+    terms: Terms
 
 
-def fit_linear(rows: np.ndarray, keys: np.ndarray, target: np.ndarray, rounds: int = 400, penalty: float = 1e-3) -> Linear:
+def fit_linear(rows: np.ndarray, keys: np.ndarray, target: np.ndarray, terms: Terms, rounds: int = 400, penalty: float = 1e-3) -> Linear:
     """Logistic regression on soft labels; features are those whose rate differs clearly
     between the two sides of the posterior (five standard errors and five rows)."""
     n = len(target)
@@ -176,13 +210,13 @@ def fit_linear(rows: np.ndarray, keys: np.ndarray, target: np.ndarray, rounds: i
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         move = 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return Linear(found[clear], w, b)
+    return Linear(found[clear], w, b, terms)
 
 
 def _scores(column: pa.Array, model: Linear) -> np.ndarray:
     out = np.full(len(column), model.bias)
     for first, _, data, offsets in text_chunks(column):
-        rows, keys = _features(data, offsets)
+        rows, keys = _with_voters(*_features(data, offsets), model.terms)
         at = _find(keys, model.keys)
         pair = np.unique(rows[at >= 0] * np.int64(len(model.keys) + 1) + at[at >= 0])
         np.add.at(out, first + pair // (len(model.keys) + 1), model.weight[pair % (len(model.keys) + 1)] if len(model.keys) else 0)
@@ -196,8 +230,8 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear | None:
     """The classifier, from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
-    Labels of held-out rows are never read. Terms come from a sample of at most ``sample``
-    labelled rows; the label model from the votes on all rows that aren't held out, counted by
+    Labels of held-out rows are never read. Terms come from all other labelled rows; the
+    classifier's rows are a sample of at most ``sample`` of them; the label model from the votes on all rows that aren't held out, counted by
     pattern; the classifier from the sample's posteriors. None without toxic or other rows.
     """
     spark = docs.sparkSession
@@ -208,25 +242,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear |
         for batch in batches:
             for first, last, data, offsets in text_chunks(batch.column(1)):
                 rows, keys = _features(data, offsets)
-                words = int(np.diff(word_spans(LOWER[data], offsets, _GAP)[2]).sum())
-                whole = np.arange(len(keys)) < words
-                order = np.lexsort((~whole, keys, rows))
-                rows, keys, whole = rows[order], keys[order], whole[order]
+                order = np.lexsort((keys, rows))
+                rows, keys = rows[order], keys[order]
                 new = np.ones(len(keys), bool)
                 new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
-                rows, keys, whole = rows[new], keys[new], whole[new]
+                rows, keys = rows[new], keys[new]
                 cut = np.searchsorted(rows, np.arange(last - first + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(first, last - first), pa.array([keys[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), pa.array([whole[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["toxic", "keys", "whole"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(first, last - first), pa.array([keys[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["toxic", "keys"])
 
     joined = docs.where("doc_id IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    got = joined.mapInArrow(tidy(features), "toxic int, keys binary, whole binary").toPandas()
+    got = joined.mapInArrow(tidy(features), "toxic int, keys binary").toPandas()
     toxic = got["toxic"].to_numpy(float)
     if not len(got) or toxic.min() == toxic.max():
         return None
     parts = [np.frombuffer(x, np.uint64) for x in got["keys"]]
     rows, keys = np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts)
-    whole = np.concatenate([np.frombuffer(x, bool) for x in got["whole"]])
-    terms = mine_terms(rows, keys, whole, toxic)
+    mined = toxic_terms(docs.join(known, "doc_id").select("toxic", "text")).toPandas()
+    terms = mine_terms(mined["key"].to_numpy(np.int64).view(np.uint64), mined["word"].to_numpy(bool))
     shared = spark.sparkContext.broadcast(terms)
 
     def vote(batches):
@@ -241,7 +273,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear |
     rate = np.array([np.clip((x[toxic == y].sum(0) + 0.5) / ((toxic == y).sum() + 1), 1e-5, 1 - 1e-5) for y in (0, 1)])
     start = LabelModel(float(np.clip(toxic.mean(), 1e-4, 0.5)), rate, np.ones(VOTERS))
     model = fit_label_model(patterns["mask"].to_numpy(), patterns["count"].to_numpy(float), start)
-    return fit_linear(rows, keys, model.posterior(masks))
+    return fit_linear(*_with_voters(rows, keys, terms), model.posterior(masks), terms)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
