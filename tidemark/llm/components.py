@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_table, write_table
+from .shared import drop_tables, write_table
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,6 +37,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if edges.join(chained, "v", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
             break
         after = write_table(_stars(_stars(edges, True), False), "edges")
-        drop_table(edges)
+        drop_tables(edges)
         edges = after
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

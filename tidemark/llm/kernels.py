@@ -7,6 +7,7 @@ the kernels work on UTF-8 bytes and never decode. Hashes are 64 bits wide.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at a time; bounds the working arrays, not the texts.
 CHUNK = 1 << 20
+#: Longest span in bytes that is hashed by sums of powers; longer ones are digested.
+LINEAR = 64
 
 _powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 
@@ -86,7 +89,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_CODE[data] * powers(_BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
+    out = mix((total[ends] - total[starts]) * powers(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
+    # sums of powers can be made to collide in long strings
+    for i in np.flatnonzero(ends - starts > LINEAR):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one of our own in local mode
+    and an error on a cluster, whose machines share no temporary folder."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own.rstrip("/")
@@ -22,6 +27,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        if v is not None:
+            spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def write_table(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
@@ -29,15 +48,14 @@ def write_table(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
 
     A lost executor then costs a re-read, not a recomputation of everything above. With
     ``batch_rows``, Python workers get so many rows at a time during this write: for wide rows.
+    The shuffle files of the write go as soon as the table is there.
     """
-    spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, batch_rows or before)
-    try:
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with _settings(spark, **{_BATCH: batch_rows, _CLEAN: "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -46,10 +64,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by :func:`write_table` once nothing reads it any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        drop_path(df.sparkSession, folder)
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`write_table` once nothing reads them any more."""
+    for table in tables:
+        drop_path(table.sparkSession, table.table_path)
 
 
 def partitions(spark: SparkSession) -> int:
