@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tests.compare import DATA, database, same
 from tidemark.llm import queries
@@ -48,13 +49,17 @@ def test_sql(spark, name):
     same(queries.QUERIES[name](spark, DATA), database(), queries.SQL[name])
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.text(alphabet="aB ,.'é \n\t19ßÀ×<|>", max_size=60), max_size=8), st.booleans())
-def test_pieces_encode_like_texts(texts, lower):
-    own = encoder(WORD if lower else BYTE, lower)
-    want = [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    got = [ids[at[i] : at[i + 1]].tolist() for a, b, ids, at in own.encode(pa.array(texts, pa.string())) for i in range(b - a)]
-    assert got == want
+PARTS = [*"aBz ,.'\n\t\r19ßÀ×<|>_-\x0b\x1c\x00é中😀\u0085\u00a0\u1680\u2003\u2028\u202f\u205f\u3000\u0301\u0308\u200b", "'s", "'LL", "  ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"]
+
+
+@pytest.mark.parametrize("path, lower", [(BYTE, False), (WORD, True)])
+def test_ids_are_those_of_the_library(path, lower):
+    rng, fresh, own = random.Random(7), Tokenizer.from_file(path), encoder(path, lower)
+    for _ in range(5):
+        texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 14))) for _ in range(2000)] + [None]
+        want = [x.ids for x in fresh.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        got = [ids[at[i] : at[i + 1]].tolist() for a, b, ids, at in own.encode(pa.array(texts, pa.string())) for i in range(b - a)]
+        assert got == want
 
 
 @settings(max_examples=30, deadline=None)
@@ -128,6 +133,33 @@ def test_near_hub_unlike_its_bucket(spark):
     assert got == dict(enumerate(label)) and 1 < len(set(label)) < 90
 
 
+def test_near_links_of_a_block_are_a_forest():
+    """A block pair gives fewer links than it has components, and joins what all links join."""
+    from tidemark.llm.near_dedup import _block_links
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 2**63, 60, dtype=np.uint64)
+    rows = []
+    for i in range(900):
+        own = base.copy()
+        own[rng.integers(0, 60, rng.integers(0, 9))] = rng.integers(1, 2**63, 1, dtype=np.uint64)
+        rows.append(np.unique(own))
+    table = pa.table({"rep": np.arange(900), "component": np.arange(900), "block": np.repeat([0, 1], 450), "hashes": pa.array([x.tobytes() for x in rows], pa.binary())})
+    got = _block_links(80)((pa.scalar(1), pa.scalar(0), pa.scalar(1)), table).to_pydict()
+    both = {(i, j) for i in range(450) for j in range(450, 900) if 100 * (n := len(np.intersect1d(rows[i], rows[j]))) >= 80 * (len(rows[i]) + len(rows[j]) - n)}
+    assert len(both) > 50_000 and len(got["a"]) < 900 and set(zip(got["a"], got["b"])) <= both
+
+    def parts(links):
+        label = {i: i for i in range(900)}
+        for a, b in sorted(links):
+            x, y = label[a], label[b]
+            if x != y:
+                label = {i: min(x, y) if v in (x, y) else v for i, v in label.items()}
+        return label
+
+    assert parts(zip(got["a"], got["b"])) == parts(both)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 50)] + [(None, 3), (7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain, "a long, b long")).collect()))
@@ -260,7 +292,7 @@ def test_hilbert_curve_steps():
 
 def test_packing(spark):
     got = pack(documents(spark, EDGES + [(i, f"text {i} " * i) for i in range(20, 60)]), BYTE).toPandas()
-    tokenizer = encoder(BYTE, False).tokenizer
+    tokenizer = Tokenizer.from_file(BYTE)
     for doc, text in EDGES[:6] + EDGES[7:]:
         if doc == 5:
             continue
@@ -310,7 +342,7 @@ def test_token_segments(tmp_path):
 
 def test_token_files(spark):
     got = read_tokens(write_tokens(documents(spark, EDGES), WORD, 2)).toPandas().sort_values(["start"])
-    tokenizer = encoder(WORD, True).tokenizer
+    tokenizer = Tokenizer.from_file(WORD)
     assert len(got) == len(EDGES) and got.doc_id.isna().tolist() == [True] + [False] * 9 and got.doc_id.iloc[1:].is_monotonic_increasing
     at = 0
     text = {d: t for d, t in EDGES}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import mix, shingles, tidy
-from .shared import write_table
+from .shared import drop_tables, write_table
 
 BINS = 128
 ROWS = 4
@@ -120,20 +120,39 @@ def _common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
+def _forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """Index of those links (a, b) that join what the links before them left apart."""
+    parent, keep = list(range(nodes)), []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[x] = y
+            keep.append(i)
+            if len(keep) == nodes - 1:
+                break
+    return np.array(keep, np.int64)
+
+
 def _block_links(percent: int):
     def compare(key, rows):
         low, high = key[1].as_py(), key[2].as_py()
-        ids, comps, block = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["block"].to_numpy()
+        ids, block = rows["rep"].to_numpy(), rows["block"].to_numpy()
+        names, comps = np.unique(rows["component"].to_numpy(), return_inverse=True)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["hashes"].combine_chunks()]
         one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
         found = ([], [])
-        if len(one) and len(two):
+        if len(one) and len(two) and len(names) > 1:
             common = _common_counts([sets[i] for i in one], [sets[i] for i in two])
             size = np.array([len(x) for x in sets], np.float32)
             union = size[one][:, None] + size[two][None, :] - common
             hit = (100 * common >= percent * union) & (common > 0) & (comps[one][:, None] != comps[two][None, :])
             x, y = np.nonzero(hit)
-            found = (ids[one[x]], ids[two[y]])
+            x, y = one[x], two[y]
+            tree = _forest(comps[x], comps[y], len(names))
+            found = (ids[x[tree]], ids[y[tree]]) if len(tree) else found
         return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
     return compare
@@ -143,15 +162,22 @@ def open_links(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: i
     """Links between different components that share a bucket but were never its hub.
 
     Buckets are cut into blocks of bounded classes and bytes; each pair of blocks is one group,
-    so a large bucket spreads over tasks. Of buckets with the same members one is compared.
+    so a large bucket spreads over tasks. All pairs of a group are compared in the task, which
+    gives links that join its components as all links would: fewer of them than components.
+    Of buckets with the same members one is compared.
     """
-    rows = buckets.where("rep <> hub").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(sets.select(F.col("id").alias("rep"), "n"), "rep")
-    held = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("rep") % 1_000_003).alias("x"), F.sum(F.hash("rep").cast("long")).alias("y"), F.sum(8 * F.col("n")).alias("bytes")).where("c0 <> c1")
+    rep = comps.select(F.col("id").alias("rep"), "component")
+    rows = buckets.where("rep <> hub").join(rep, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(sets.select(F.col("id").alias("rep"), "n"), "rep")
+    digest = [F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(20,0)")).alias(f"digest{i}") for i in range(2)]
+    ends = [F.min("component").alias("c0"), F.max("component").alias("c1")]
+    held = rows.groupBy("key").agg(F.count("*").alias("m"), *ends, *digest, F.sum(8 * F.col("n")).alias("bytes")).where("c0 <> c1")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_CLASSES, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    chosen = held.groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.max(blocks).alias("blocks")).select("key", "blocks")
+    chosen = held.groupBy("m", "digest0", "digest1").agg(F.min("key").alias("key"), F.max(blocks).alias("blocks")).select("key", "blocks")
     placed = rows.select("key", "rep", "component").join(chosen, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return dealt.join(sets.select(F.col("id").alias("rep"), "hashes"), "rep").groupBy("key", "low", "high").applyInArrow(_block_links(percent), "a long, b long").distinct()
+    pair = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "component", "block", *pair)
+    full = dealt.join(sets.select(F.col("id").alias("rep"), "hashes"), "rep")
+    return full.groupBy("key", "low", "high").applyInArrow(_block_links(percent), "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,10 +204,12 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     ids = write_table(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     sets = write_table(shingle_sets(texts_of(docs, ids, ids.count()), k), "sets", TEXT_ROWS)
     links = write_table(linked(pairs, sets, percent), "links", PAIR_ROWS)
+    drop_tables(pairs, ids)
     comps = connected_components(links)
     more = write_table(open_links(buckets, comps, sets, percent), "links")
     if not more.isEmpty():
         comps = connected_components(links.unionAll(more))
+    drop_tables(buckets, sets, links, more)
     final = classes.select("set_key", "rep").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("of_class"))
     out = sketch.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("of_class")).otherwise(F.col("doc_id"))
