@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.compare import DATA, database, same
@@ -23,7 +24,7 @@ from tidemark.llm.exact_dedup import CuckooIndex, build_index, content_digests,
 from tidemark.llm.kernels import shingles
 from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import hilbert_keys, pack
-from tidemark.llm.quality import ORDER, SYMBOLS, classify_quality, keep_quality, kneser_ney, perplexities
+from tidemark.llm.quality import classify_quality, exact_quantile, keep_quality
 from tidemark.llm.substring import compact_windows, repeated_passages, sliding_minima
 from tidemark.llm.token_file import SegmentReader, read_tokens, write_segment, write_tokens
 from tidemark.llm.tokens import encoder
@@ -98,8 +99,6 @@ def test_exact_edges(spark):
 def test_index_update(spark):
     docs = [(i, f"t{i % 40}") for i in range(100)]
     index = build_index(content_digests(documents(spark, docs)), 3)
-    from pyspark.sql import functions as F
-
     batch = content_digests(documents(spark, [(200, "t0"), (201, "new")])).withColumn("op", F.lit("insert")).unionAll(content_digests(documents(spark, [(1, "t1"), (41, "t1"), (81, "t1"), (5, "none")])).withColumn("op", F.lit("delete")))
     got = {bytes(r.digest): (r.keep_id, r.group_size) for r in update_index(index, batch, 3).collect()}
     digest = lambda t: hashlib.sha256(t.encode()).digest()
@@ -166,49 +165,6 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}}
 
 
-def test_kneser_ney_against_plain_sums(spark):
-    rng = np.random.default_rng(1)
-    line = rng.integers(0, 4, 4000)
-    grams = defaultdict(int)
-    for i in range(ORDER - 1, len(line)):
-        grams[tuple(line[i - ORDER + 1 : i + 1])] += 1
-    number = lambda g: sum(int(x) * SYMBOLS ** (len(g) - 1 - i) for i, x in enumerate(g))
-    model = kneser_ney(spark.createDataFrame([(number(g), c) for g, c in grams.items()], "gram int, c long"))
-
-    def level(counts):
-        n = [sum(c == i for c in counts.values()) for i in range(1, 5)]
-        if not n[0] or not n[1]:
-            return [0.5, 1.0, 1.5]
-        y = n[0] / (n[0] + 2 * n[1])
-        raw = [(i + 1) - (i + 2) * y * n[i + 1] / n[i] if n[i] else (i + 1) / 2 for i in range(3)]
-        return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
-
-    tables = [grams]
-    for _ in range(ORDER - 1):
-        lower = defaultdict(int)
-        for g in tables[-1]:
-            lower[g[1:]] += 1
-        tables.append(lower)
-
-    def p(gram, depth):
-        if depth == ORDER:
-            return 1 / SYMBOLS
-        counts = tables[depth]
-        after = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
-        if not after:
-            return p(gram[1:], depth + 1)
-        d = level(counts)
-        cut = lambda c: d[min(c, 3) - 1]
-        total = sum(after.values())
-        own = after.get(gram, 0)
-        return (own - cut(own) if own else 0) / total + sum(map(cut, after.values())) / total * p(gram[1:], depth + 1)
-
-    for gram in [(0, 1, 2, 3), (3, 3, 3, 3), (5, 1, 2, 0), (7, 7, 7, 7), (0, 0, 9, 1), (1, 2, 3, 40)]:
-        assert np.exp(model[number(gram)]) == pytest.approx(p(gram, 0), rel=1e-4)
-    sums = np.exp(model.reshape(-1, SYMBOLS).astype(float)).sum(1)
-    assert np.allclose(sums, 1, atol=1e-3)
-
-
 def test_quality_tells_junk(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = classify_quality(docs, labels).join(labels, "doc_id").toPandas()
@@ -225,7 +181,6 @@ def test_quality_edges(spark):
     assert kept.columns == documents(spark, []).columns and kept.where("doc_id = 4").count() == 1
     none = classify_quality(documents(spark, EDGES), labels.where("doc_id < 0"))
     assert none.where("kept").count() == 8 and classify_quality(documents(spark, []), labels).count() == 0
-    assert np.isnan(perplexities(pa.array([None, ""]), np.zeros(SYMBOLS**ORDER, np.float32))).all()
 
 
 def test_decontamination_edges(spark):
@@ -318,8 +273,6 @@ def test_toxicity_held_out_and_edges(spark):
 
 def test_toxicity_ignores_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
-    from pyspark.sql import functions as F
-
     flipped = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     one, two = (dict(score_toxicity(docs, x).select("doc_id", "score").collect()) for x in (labels, flipped))
     assert one == two
@@ -404,40 +357,93 @@ def test_pipeline(spark, tmp_path):
     db.close()
 
 
-def test_word_model_against_plain_sums(spark):
-    """Shares, back-off and perplexity of the joined tables, against dictionaries."""
-    from tidemark.llm.word_model import WORD_ORDER, discounts, document_grams, word_perplexities, word_tables
+def _plain_model(texts):
+    """p(gram) of an interpolated modified Kneser-Ney model of bytes, by dictionaries."""
+    from tidemark.llm.byte_model import ORDER, discounts
 
-    rng = random.Random(6)
-    text = lambda n: " ".join(rng.choices("the of a cat dog sat on Ärger 猫 x1".split(), k=n))
-    known, asked = [text(60) for _ in range(9)], [text(40), "the cat unseen sat", " \n", "the " * 30, ""]
-    schema = "text_key long, side int, text string"
-    tables, unseen = word_tables(document_grams(spark.createDataFrame([(i, 0, t) for i, t in enumerate(known)], schema)))
-    got = {r.text_key: r.perplexity for r in word_perplexities(document_grams(spark.createDataFrame([(i, 0, t) for i, t in enumerate(asked)], schema)), tables, unseen).collect()}
-    pad = lambda t: ["<s>"] * (WORD_ORDER - 1) + t.split() + ["</s>"]
-    runs = lambda t: [tuple(pad(t)[i : i + WORD_ORDER]) for i in range(len(pad(t)) - WORD_ORDER + 1)]
     levels = [defaultdict(int)]
-    for t in known:
-        for g in runs(t):
-            levels[0][g] += 1
-    for _ in range(WORD_ORDER - 1):
+    for t in texts:
+        line = bytes(ORDER - 1) + t.encode()
+        for i in range(len(line) - ORDER + 1):
+            levels[0][line[i : i + ORDER]] += 1
+    for _ in range(ORDER - 1):
         levels.append(defaultdict(int))
         for g in levels[-2]:
             levels[-1][g[1:]] += 1
     cuts = [discounts({i: sum(c == i for c in x.values()) for i in range(1, 5)}) for x in levels]
+    after = [defaultdict(list) for _ in levels]
+    for x, own in zip(after, levels):
+        for g, c in own.items():
+            x[g[:-1]].append(c)
 
     def p(gram, depth=0):
-        if depth == WORD_ORDER:
-            return 1 / (len(levels[-1]) + 1)
-        after = [c for g, c in levels[depth].items() if g[:-1] == gram[:-1]]
-        if not after:
+        if depth == ORDER:
+            return 1 / 256
+        seen = after[depth].get(gram[:-1])
+        if not seen:
             return p(gram[1:], depth + 1)
         cut = lambda c: cuts[depth][min(c, 3) - 1] if c else 0
         own = levels[depth].get(gram, 0)
-        return (own - cut(own)) / sum(after) + sum(map(cut, after)) / sum(after) * p(gram[1:], depth + 1)
+        return (own - cut(own)) / sum(seen) + sum(map(cut, seen)) / sum(seen) * p(gram[1:], depth + 1)
+
+    def perplexity(text):
+        line = bytes(ORDER - 1) + text.encode()
+        logs = [np.log(p(line[i : i + ORDER])) for i in range(len(line) - ORDER + 1)]
+        return np.exp(-np.mean(logs))
+
+    return p, perplexity
 
-    want = {i: np.exp(-np.mean([np.log(p(g)) for g in runs(t)])) for i, t in enumerate(asked) if t}
-    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+@pytest.mark.parametrize("shard_rows, block", [(250_000, 32 << 20), (300, 700)])
+def test_quality_against_plain_sums(spark, monkeypatch, shard_rows, block):
+    """Perplexity, limit and verdict of every document, in one block and in many of them."""
+    from tidemark.llm import byte_model
+
+    monkeypatch.setattr(byte_model, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(byte_model, "BLOCK_BYTES", block)
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choices("the of a cat dog sat on Ärger 猫 x1 zebra quick".split(), k=n))
+    rows = [(i, text(rng.randint(3, 50)), rng.choice(["en", "de", None])) for i in range(60)] + [(60, "zq#" * 30, "en"), (61, "cat " * 40, "fr"), (62, "", "en"), (63, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("key", F.xxhash64("text"))
+    half = {r.doc_id: r.key & 1 for r in docs.collect()}
+    trusted = list(range(0, 60, 2))
+    labels = spark.createDataFrame([(i, 1) for i in trusted] + [(1, 0), (2, 0), (60, None)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in classify_quality(docs, labels, 0.9).collect()}
+    models = [_plain_model([t for i, t, _ in rows if i in trusted and half[i] == side])[1] for side in (0, 1)]
+    want = {i: models[1 - half[i]](t) for i, t, _ in rows if t}
+    assert got.keys() == set(range(64)) and got[62].perplexity is None and got[63].perplexity is None
+    assert all(got[i].perplexity == pytest.approx(want[i], rel=1e-5) for i in want)
+
+    def limit(of):
+        ranked = sorted(got[i].perplexity for i in of)
+        return ranked[int(np.ceil(len(ranked) * 0.9)) - 1]
+
+    by = {lang: limit([i for i, _, x in rows if i in trusted and x == lang]) for lang in ("en", "de")}
+    for i, t, lang in rows:
+        bound = by.get(lang, limit(trusted))
+        assert got[i].limit == bound and got[i].kept == bool(t and got[i].perplexity <= bound)
+
+
+def test_bytes_of_a_context_sum_to_one(spark):
+    from tidemark.llm.byte_model import byte_model, gram_counts, log_probabilities
+
+    rows = byte_model(gram_counts(spark.createDataFrame([(0, "abracadabra and so on"), (1, "other text")], "side int, text string"))).toPandas()
+    tables = {}
+    for kind, own in rows.sort_values("key").groupby("kind"):
+        tables[kind] = (own["key"].to_numpy(), own["value"].to_numpy())
+    for context in (b"\0\0\0\0", b"abra", b"zzzz", b"xbra", b" and"):
+        grams = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])
+        assert np.exp(log_probabilities(grams, tables).astype(float)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_exact_quantile(spark):
+    rng = random.Random(5)
+    values = {g: [rng.choice([1.0, 1.5, 2 + rng.random() * 1e-4, rng.random() * 90 + 1]) for _ in range(n)] for g, n in (("a", 1), ("b", 500), ("c", 777))}
+    rows = spark.createDataFrame([(g, v) for g, own in values.items() for v in own], "g string, v double")
+    for q in (0.01, 0.5, 0.99, 1.0):
+        got = {r.g: r.limit for r in exact_quantile(rows, "g", "v", q).collect()}
+        assert got == {g: sorted(own)[int(np.ceil(len(own) * q)) - 1] for g, own in values.items()}
+    assert exact_quantile(rows.where("false"), "g", "v", 0.5).count() == 0
 
 
 def test_quality_sees_word_order(spark):

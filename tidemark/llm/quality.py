@@ -1,94 +1,23 @@
-"""Quality classifier: a Kneser-Ney model of words (``word_model``), trained on trusted text.
+"""Quality classifier: a Kneser-Ney model of byte n-grams (``byte_model``), trained on trusted text.
 
 Trusted text is halved by text, and each text is scored by the half that it would not be in:
 limits come from texts that the model hasn't seen, and copies of trusted texts have no
-advantage. The symbol model (:func:`kneser_ney`, :func:`perplexities`) is bounded whatever the
-corpus and isn't used by the classifier.
+advantage.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .kernels import text_chunks
-from .shared import write_table
-from .word_model import discounts, document_grams, word_perplexities, word_tables
+from .byte_model import TEXT_ROWS, byte_model, byte_perplexities, gram_counts
+from .shared import drop_tables, write_table
 
-SYMBOLS, ORDER = 48, 4
 #: Trusted ids up to this many go to all executors; more of them are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-CHUNK = 1 << 20
-#: Rows of a table that a Python worker gets at a time.
-TEXT_ROWS = 2_000
-
-CLASS = np.full(256, 37, np.int32)
-CLASS[97:123] = np.arange(26)
-CLASS[65:91] = 26
-CLASS[48:58] = 27
-CLASS[:32], CLASS[32], CLASS[127] = 29, 28, 29
-for _class, _bytes in ((30, b"."), (31, b","), (32, b"!"), (33, b"?"), (34, b"|"), (35, b"*#$%&"), (36, b"'\"-():;")):
-    CLASS[list(_bytes)] = _class
-CLASS[0x80:0xC0] = 40 + (np.arange(0x80, 0xC0) >> 3) % 8
-CLASS[0xC0:], CLASS[0xC3] = 39, 38
-_PAD = 29
-
-
-def symbol_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The ORDER-gram that ends at each byte, as a number in base SYMBOLS; every row begins
-    behind ORDER - 1 line breaks."""
-    before = ORDER - 1
-    at = np.repeat(before * np.arange(1, len(offsets)), np.diff(offsets))
-    at += np.arange(len(data))
-    line = np.full(len(data) + before * (len(offsets) - 1), _PAD, np.int32)
-    line[at] = CLASS[data]
-    gram = np.zeros(len(data), np.int32)
-    for back in range(before, -1, -1):
-        gram *= SYMBOLS
-        gram += line[at - back]
-    return gram
-
-
-def kneser_ney(counts: DataFrame) -> np.ndarray:
-    """log p(last symbol | those before) of every ORDER-gram.
-
-    For each order, counts (continuation counts below the highest) are joined with the totals
-    of their contexts, both sharded by context; the driver gets the discounted shares of seen
-    grams and the left-over weight of seen contexts, SYMBOLS ** order rows at most, and
-    interpolates them from the lowest order up.
-    """
-    tables = []
-    for order in range(ORDER, 0, -1):
-        counts = write_table(counts, f"grams{order}", TEXT_ROWS)
-        d = discounts({r["c"]: r["n"] for r in counts.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()})
-        keyed = counts.withColumn("context", F.floor(F.col("gram") / SYMBOLS).cast("int"))
-        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        totals = keyed.groupBy("context").agg(F.sum("c").alias("total"), F.sum(cut).alias("left"))
-        share = keyed.join(totals, "context").select("gram", ((F.col("c") - cut) / F.col("total")).alias("share"))
-        tables.append((order, share.toPandas(), totals.select("context", (F.col("left") / F.col("total")).alias("rest")).toPandas()))
-        counts = counts.groupBy((F.col("gram") % SYMBOLS ** (order - 1)).cast("int").alias("gram")).agg(F.count("*").alias("c")) if order > 1 else counts
-    below = np.full(1, 1 / SYMBOLS)
-    for order, share, rest in reversed(tables):
-        weight = np.ones(SYMBOLS ** (order - 1))
-        weight[rest["context"]] = rest["rest"]
-        p = weight[:, None] * (below.reshape(-1, SYMBOLS)[np.arange(len(weight)) % max(1, len(below) // SYMBOLS)] if order > 1 else below)
-        p = np.array(np.broadcast_to(p, (len(weight), SYMBOLS))).reshape(-1)
-        p[share["gram"]] += share["share"]
-        below = p
-    return np.log(below).astype(np.float32)
-
-
-def perplexities(column: pa.Array, model: np.ndarray) -> np.ndarray:
-    """Per-symbol perplexity of each row; NaN without symbols."""
-    out = np.full(len(column), np.nan)
-    for first, last, data, offsets in text_chunks(column, CHUNK):
-        total = np.concatenate(([0.0], np.cumsum(model[symbol_grams(data, offsets)], dtype=np.float64)))
-        n = np.diff(offsets)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out[first:last] = np.where(n > 0, np.exp(-(total[offsets[1:]] - total[offsets[:-1]]) / n), np.nan)
-    return out
+#: Steps of the logarithm of perplexity in which values are counted before they are ranked.
+STEPS = 4096
 
 
 def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -99,18 +28,37 @@ def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, text_key, perplexity) of ``docs`` (doc_id, lang, text), by models of all
     texts that ``labels`` calls good."""
-    keyed = docs.withColumn("text_key", F.xxhash64("text")).withColumn("half", F.col("text_key").bitwiseAND(1))
-    trained = _trusted(keyed, labels).withColumn("side", F.col("half"))
-    tables, unseen = word_tables(document_grams(trained))
-    found = write_table(word_perplexities(document_grams(keyed.withColumn("side", 1 - F.col("half"))), tables, unseen), "perplexities")
-    return keyed.select("doc_id", "lang", "text_key").join(found, "text_key", "left").select("doc_id", "lang", "text_key", "perplexity")
+    keyed = docs.withColumn("text_key", F.xxhash64("text")).withColumn("half", F.col("text_key").bitwiseAND(1).cast("int"))
+    counts = write_table(gram_counts(_trusted(keyed, labels).withColumn("side", F.col("half"))), "counts", TEXT_ROWS)
+    model = byte_model(counts)
+    out = byte_perplexities(keyed.withColumn("side", 1 - F.col("half")), model)
+    drop_tables(counts, model)
+    return out
+
+
+def exact_quantile(values: DataFrame, group: str, value: str, q: float) -> DataFrame:
+    """(group, limit): the smallest value of each group that a share ``q`` of its rows doesn't
+    exceed. Values are counted in steps of their logarithm first; only those of the step that
+    holds the rank are then put in order, as distinct values with their numbers of rows."""
+    stepped = values.withColumn("step", F.floor(F.log(value) * STEPS))
+    counts = stepped.groupBy(group, "step").agg(F.count("*").alias("n"))
+    ranks = Window.partitionBy(group)
+    before = ranks.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("rank", F.ceil(F.sum("n").over(ranks) * F.lit(q))).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    held = ranked.where("rank > before AND rank <= before + n").select(F.col(group).alias("_group"), F.col("step").alias("_step"), (F.col("rank") - F.col("before")).alias("rest"))
+    inside = stepped.join(F.broadcast(held), (F.col(group) == F.col("_group")) & (F.col("step") == F.col("_step")))
+    each = inside.groupBy(group, value, "rest").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return each.withColumn("upto", F.sum("n").over(upto)).where("upto >= rest").groupBy(group).agg(F.min(value).alias("limit"))
 
 
 def language_limits(scores: DataFrame, labels: DataFrame, quantile: float) -> tuple[DataFrame, float | None]:
     """(lang, limit): the quantile of trusted perplexities by language, and over all of them."""
-    good = _trusted(scores, labels).where("perplexity IS NOT NULL")
-    over = F.percentile_approx("perplexity", quantile, 10_000)
-    return good.where("lang IS NOT NULL").groupBy("lang").agg(over.alias("limit")), good.agg(over).first()[0]
+    good = write_table(_trusted(scores, labels).where("perplexity IS NOT NULL").select("lang", "perplexity"), "trusted")
+    limits = write_table(exact_quantile(good.where("lang IS NOT NULL"), "lang", "perplexity", quantile), "limits")
+    pooled = exact_quantile(good.withColumn("lang", F.lit("")), "lang", "perplexity", quantile).first()
+    drop_tables(good)
+    return limits, pooled["limit"] if pooled else None
 
 
 def _chosen(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -118,9 +66,8 @@ def _chosen(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
 
 
 def _verdicts(docs: DataFrame, labels: DataFrame, quantile: float) -> DataFrame:
-    scores = write_table(score(docs, labels), "scores")
+    scores = score(docs, labels)
     limits, pooled = language_limits(scores, labels, quantile)
-    limits = write_table(limits, "limits")
     limits = F.broadcast(limits) if limits.count() <= 10_000 else limits
     found = scores.join(limits, "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(pooled).cast("double")))
     return found.withColumn("kept", F.coalesce(F.col("perplexity") <= F.coalesce("limit", F.lit(float("inf"))), F.lit(False)))
@@ -129,12 +76,13 @@ def _verdicts(docs: DataFrame, labels: DataFrame, quantile: float) -> DataFrame:
 def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, lang, perplexity, limit, kept.
 
-    The models learn all texts with quality 1 in ``labels`` (doc_id, quality). A document is
-    kept when its perplexity a word is at most its language's limit: the ``quantile`` of the
-    trusted documents in that language, or of all of them for a language without any and for
-    a null one. Without trusted text there is no limit and every text is kept. Null and empty
-    texts have no perplexity and aren't kept. Repeated rows are scored each. Other columns are
-    not read; an empty table gives an empty result.
+    The models learn all texts with quality 1 in ``labels`` (doc_id, quality); an id that is
+    labelled more than once is trusted if one of its labels says so. A document is kept when
+    its perplexity a byte is at most its language's limit: the smallest perplexity that the
+    share ``quantile`` of the trusted documents in that language doesn't exceed, or of all of
+    them for a language without any and for a null one. Without trusted text there is no limit
+    and every text is kept. Null and empty texts have no perplexity and aren't kept. Repeated
+    rows are scored each. Other columns are not read; an empty table gives an empty result.
     """
     found = _verdicts(_chosen(docs, id_col, text_col, lang_col), labels, quantile)
     return found.select("doc_id", "lang", "perplexity", "limit", "kept")
@@ -145,6 +93,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) ->
     keeps, with all their columns; texts stay where they are unless many are rejected."""
     found = _verdicts(_chosen(docs, "doc_id", "text", "lang"), labels, quantile)
     bad = write_table(found.where("NOT kept").select(F.col("text_key").alias("_bad"), F.col("lang").alias("_lang")).distinct(), "rejected")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = (keyed["_key"] == bad["_bad"]) & keyed["lang"].cast("string").eqNullSafe(bad["_lang"])
-    return keyed.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, same, "left_anti").select(docs.columns)
+    same = (F.xxhash64(docs["text"]) == bad["_bad"]) & docs["lang"].cast("string").eqNullSafe(bad["_lang"])
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, same, "left_anti")

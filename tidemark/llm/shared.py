@@ -31,16 +31,17 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def _settings(spark: SparkSession, **values) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        if v is not None:
-            spark.conf.set(k, v)
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Python workers get so many ``rows`` at a time; shuffle files go when their query ends."""
+    before = {k: spark.conf.get(k) for k in (_BATCH, _CLEAN)}
+    spark.conf.set(_CLEAN, "true")
+    if rows:
+        spark.conf.set(_BATCH, rows)
     try:
         yield
     finally:
         for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+            spark.conf.set(k, v)
 
 
 def write_table(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def write_table(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     The shuffle files of the write go as soon as the table is there.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    with _settings(spark, **{_BATCH: batch_rows, _CLEAN: "true"}):
+    with batches_of(spark, batch_rows):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
