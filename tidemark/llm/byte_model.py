@@ -25,13 +25,13 @@ from .shared import batches_of, drop_path, drop_tables, new_path, partitions, wr
 
 ORDER, LOW = 5, 2
 #: Bytes of text in a block: one row of the block table.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Rows of the model in a shard, about, and blocks that ask one copy of it.
 SHARD_ROWS, ASKING = 250_000, 8
 #: Distinct grams that a counting task holds before it sums them up.
-HELD = 4 << 20
+HELD = 1 << 20
 #: Rows of texts, and of blocks, that a Python worker gets at a time.
-TEXT_ROWS, BLOCK_ROWS = 1_000, 2
+TEXT_ROWS, BLOCK_ROWS = 500, 1
 _MODEL = -1
 
 
