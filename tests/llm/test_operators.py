@@ -193,7 +193,7 @@ def test_decontamination_edges(spark):
 def test_compact_windows():
     rng = np.random.default_rng(2)
     for n, width in ((0, 3), (2, 3), (50, 1), (200, 7), (200, 46)):
-        values = rng.integers(0, 400, n).astype(np.uint64)
+        values = rng.integers(0, 60, n).astype(np.uint64)
         got = {tuple(x) for x in compact_windows(values, width).tolist()}
         for l, c, r in got:
             assert values[c] == values[l : r + 1].min() and r - l + 1 >= width
@@ -202,7 +202,7 @@ def test_compact_windows():
             c = i + int(values[i : i + width].argmin())
             assert sum(l <= i and i + width - 1 <= r and l <= x <= r and x == c for l, x, r in got) == 1
         if n >= width > 0:
-            assert len(compact_windows(np.zeros(5000, np.uint64), 46)) == 2
+            assert compact_windows(np.zeros(5000, np.uint64), 46).tolist() == [[i, i, 4999] for i in range(4955)]
             assert sliding_minima(values, width).tolist() == [i + int(values[i : i + width].argmin()) for i in range(n - width + 1)]
 
 
@@ -231,10 +231,9 @@ def test_passages_edges(spark):
     got = repeated_passages(documents(spark, rows)).collect()
     linked = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in got}
     assert (6, 7) in linked and {x for p in linked for x in p} == {6, 7, 20, 21, 22}
-    exact = next(r for r in got if {r.doc_id, r.other_id} == {20, 21} or False) if (20, 21) in linked else None
-    if exact:
-        start = exact.start if exact.doc_id == 20 else exact.other_start
-        assert start == 70 and exact.n_words == 60
+    exact = next(r for r in got if {r.doc_id, r.other_id} == {20, 21})
+    start, other = (exact.start, exact.other_start) if exact.doc_id == 20 else (exact.other_start, exact.start)
+    assert (start, other, exact.n_words, exact.other_words) == (70, 9, 60, 60)
     assert repeated_passages(documents(spark, [])).count() == 0
 
 
@@ -491,10 +490,10 @@ def test_passage_inside_a_near_copy(spark):
 
 def test_passages_of_a_repeated_phrase():
     """Any stretch of a text that repeats a phrase, copied into another text."""
-    from tidemark.llm.substring import FUNCTIONS, shared_passages, token_values
+    from tidemark.llm.substring import profile, shared_passages
 
     rng, width = np.random.default_rng(9), 46
-    windows = lambda x: np.concatenate([np.insert(compact_windows(token_values(x, f), width), 0, f, axis=1) for f in range(FUNCTIONS)])
+    windows = lambda x: profile(x, width)
     fresh = lambda n: rng.integers(1, 2**63, n, dtype=np.uint64)
     for period in (1, 7, 29, 40):
         x = np.concatenate([fresh(20), np.tile(fresh(period), 400 // period), fresh(20)])
@@ -533,3 +532,42 @@ def test_toxicity_of_terms_rarer_than_the_sample(spark):
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
     got = score_toxicity(documents(spark, [r[:2] for r in rows]), labels, sample=400).where("held_out").toPandas()
     assert got[got.doc_id >= 5000].predicted.mean() > 0.8 and got[(got.doc_id < 5000) & (got.doc_id % 5 != 0)].predicted.mean() < 0.05
+
+
+def test_near_passages_are_found(spark):
+    """Recall of planted near passages of similarity 0.8 and more, and documents left alone."""
+    rng, rows, sizes = random.Random(21), [], {}
+    for i in range(200):
+        quote = _words(rng, rng.choice([60, 120, 200]))
+        copy = list(quote)
+        for at in range(len(quote) // 2 - 2, len(quote) - 5, 60) if len(quote) > 60 else [len(quote) // 2]:
+            copy[at] = _words(rng, 1)[0]
+        rows += [(3 * i, " ".join(_words(rng, 80) + quote + _words(rng, 60))), (3 * i + 1, " ".join(_words(rng, 30) + copy + _words(rng, 90))), (3 * i + 2, " ".join(_words(rng, 150)))]
+        a, b = ({" ".join(w[j : j + 5]) for j in range(len(w) - 4)} for w in (quote, copy))
+        sizes[i] = len(a & b) / len(a | b)
+    assert min(sizes.values()) >= 0.8
+    got = repeated_passages(documents(spark, rows)).collect()
+    pairs = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in got}
+    assert sum((3 * i, 3 * i + 1) in pairs for i in range(200)) >= 190 and pairs <= {(3 * i, 3 * i + 1) for i in range(200)}
+
+
+def test_progressions_align_like_all_pairs():
+    from tidemark.llm.substring import _aligned, _progressions
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        cx, cy = (np.cumsum(rng.choice([3, 3, 3, 3, 5, 8], rng.integers(1, 40))) for _ in "ab")
+        parts = _progressions(cx)
+        assert sum(m for _, m, _ in parts) == len(cx)
+        assert all((np.diff(cx[a : a + m]) == p).all() for a, m, p in parts)
+        found = {}
+        for a, m, p in parts:
+            for b, q, s in _progressions(cy):
+                for head, tail in zip(*(z.T.tolist() for z in _aligned(a, m, p, b, q, s, cx, cy))):
+                    assert cy[head[1]] - cx[head[0]] == cy[tail[1]] - cx[tail[0]]
+                    found.setdefault(int(cy[head[1]] - cx[head[0]]), []).append((head, tail))
+        want = defaultdict(set)
+        for i, x in enumerate(cx):
+            for j, y in enumerate(cy):
+                want[int(y - x)].add((i, j))
+        assert found.keys() == want.keys()
