@@ -571,3 +571,16 @@ def test_progressions_align_like_all_pairs():
             for j, y in enumerate(cy):
                 want[int(y - x)].add((i, j))
         assert found.keys() == want.keys()
+
+
+def test_windows_of_a_chunk_are_those_of_its_texts():
+    from tidemark.llm.substring import _profiles, profile
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcdefghij", k=n)) for n in (0, 3, 200, 51, 50, 49, 700)] + [None, " ".join(["x"] * 90), " ".join(_words(rng, 300))]
+    got = {row: (x.tolist(), sorted(map(tuple, w.tolist()))) for row, x, w in _profiles(pa.array(texts), 5, 46)}
+    for row, x in shingles(pa.array(texts), 5):
+        if len((texts[row] or "").split()) >= 5:
+            assert got[row] == (x.tolist(), sorted(map(tuple, profile(x, 46).tolist())))
+        else:
+            assert got[row] == ([], [])
