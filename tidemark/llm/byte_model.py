@@ -24,14 +24,14 @@ from .kernels import CHUNK, text_chunks, tidy
 from .shared import batches_of, drop_path, drop_tables, new_path, partitions, write_table
 
 ORDER, LOW = 5, 2
-#: Bytes of text in a block: one row of the block table.
+#: Bytes of text in a block, the unit that asks the model and is scored.
 BLOCK_BYTES = 16 << 20
 #: Rows of the model in a shard, about, and blocks that ask one copy of it.
 SHARD_ROWS, ASKING = 250_000, 8
 #: Distinct grams that a counting task holds before it sums them up.
 HELD = 1 << 20
 #: Rows of texts, and of blocks, that a Python worker gets at a time.
-TEXT_ROWS, BLOCK_ROWS = 500, 1
+TEXT_ROWS, BLOCK_ROWS = 500, 8
 _MODEL = -1
 
 
@@ -186,28 +186,21 @@ def _shard(pair, shards: int):
 
 def text_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """(block, rows): the rows of ``docs`` in blocks of about so many bytes of text (or of one
-    longer text), each compressed as a whole; the block is a number of its own."""
+    longer text). A block is a number of its own; it has a row for each CHUNK of text or so,
+    compressed, which stand behind each other."""
 
     def blocks(batches):
-        held, size = [], 0
-
-        def row():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for part in held:
-                    out.write_batch(part)
-            return _rows(["block", "rows"], [uuid.uuid4().int >> 65], pa.array([sink.getvalue().to_pybytes()], pa.binary()))
-
+        block, size = uuid.uuid4().int >> 65, 0
         for batch in batches:
             at = 0
             for _, end, data, _ in text_chunks(batch.column("text"), min(CHUNK, block_bytes)):
-                if held and size + len(data) > block_bytes:
-                    yield row()
-                    held, size = [], 0
-                held.append(batch.slice(at, end - at))
+                if size and size + len(data) > block_bytes:
+                    block, size = uuid.uuid4().int >> 65, 0
+                part, sink = batch.slice(at, end - at), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield _rows(["block", "rows"], [block], pa.array([sink.getvalue().to_pybytes()], pa.binary()))
                 at, size = end, size + len(data)
-        if held:
-            yield row()
 
     return docs.mapInArrow(tidy(blocks), "block long, rows binary")
 
@@ -222,22 +215,31 @@ def _sides(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _requests(blocks: DataFrame, shards: int) -> DataFrame:
-    """(shard, block, keys): the distinct grams of each block, by shard."""
+    """(shard, block, keys): the distinct grams of each block, by shard. A block that is read in
+    several tasks asks in each."""
+
+    def requests(block, keys):
+        found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        of = _shard(found >> 8 & 0xFFFF, shards)
+        made = [pack_keys(found[of == s]) for s in range(shards)]
+        return _rows(["shard", "block", "keys"], pa.array(range(shards), pa.int32()), pa.array([block] * shards, pa.int64()), pa.array(made, pa.binary()))
 
     def ask(batches):
+        own, keys = None, []
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys = []
+                if block != own:
+                    if own is not None:
+                        yield requests(own, keys)
+                    own, keys = block, []
                 for rows in _opened(raw):
                     side = _sides(rows)
                     for first, last, data, offsets in text_chunks(rows.column("text")):
                         keys.append(np.unique(byte_grams(data, offsets, side[first:last])))
                         if sum(map(len, keys)) > HELD:
                             keys = [np.unique(np.concatenate(keys))]
-                found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-                of = _shard(found >> 8 & 0xFFFF, shards)
-                made = [pack_keys(found[of == s]) for s in range(shards)]
-                yield _rows(["shard", "block", "keys"], pa.array(range(shards), pa.int32()), pa.array([block] * shards, pa.int64()), pa.array(made, pa.binary()))
+        if own is not None:
+            yield requests(own, keys)
 
     return blocks.mapInArrow(tidy(ask), "shard int, block long, keys binary")
 
@@ -293,6 +295,19 @@ def _answers(requests: DataFrame, model: DataFrame, shards: int, copies: int) ->
     return dealt.mapInArrow(tidy(answer), "block long, keys binary, values binary")
 
 
+def _scored(rows: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, lang, text_key, perplexity) of a part of a block, by log p of its sorted grams."""
+    side, out = _sides(rows), np.full(rows.num_rows, np.nan)
+    for first, last, data, offsets in text_chunks(rows.column("text")):
+        grams, where = np.unique(byte_grams(data, offsets, side[first:last]), return_inverse=True)
+        log = values[np.searchsorted(keys, grams)].astype(np.float64)[where] if len(grams) else np.zeros(0)
+        total, n = np.concatenate(([0.0], np.cumsum(log))), np.diff(offsets)
+        mean = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1)
+        out[first:last] = np.where(n > 0, np.exp(-mean), np.nan)
+    same = ("doc_id", "lang", "text_key")
+    return _rows([*same, "perplexity"], *(rows.column(c) for c in same), pa.array(out, mask=np.isnan(out)))
+
+
 def byte_perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, lang, text_key, perplexity) a byte, of ``docs`` (doc_id, lang, text_key, side,
     text); null for texts without bytes. The result is a written table."""
@@ -305,29 +320,21 @@ def byte_perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     try:
         held = spark.table(name)
         shards = max(1, -(-model.count() // SHARD_ROWS))
-        copies = max(1, -(-held.count() // ASKING))
-        answers = write_table(_answers(_requests(held, shards), model, shards, copies), "answers", BLOCK_ROWS)
-
-        def score(batches):
-            for batch in batches:
-                for raw, keys, values in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    known = np.concatenate([unpack_keys(k) for k in keys]) if keys else np.zeros(0, np.int64)
-                    value = np.concatenate([np.frombuffer(v, "<f4") for v in values]).astype(np.float64) if values else np.zeros(0)
-                    order = np.argsort(known)
-                    known, value = known[order], value[order]
-                    for rows in _opened(raw):
-                        side, out = _sides(rows), np.full(rows.num_rows, np.nan)
-                        for first, last, data, offsets in text_chunks(rows.column("text")):
-                            grams, where = np.unique(byte_grams(data, offsets, side[first:last]), return_inverse=True)
-                            total = np.concatenate(([0.0], np.cumsum(value[np.searchsorted(known, grams)][where]))) if len(grams) else np.zeros(1)
-                            n = np.diff(offsets)
-                            own = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1)
-                            out[first:last] = np.where(n > 0, np.exp(-own), np.nan)
-                        yield _rows(["doc_id", "lang", "text_key", "perplexity"], *(rows.column(c) for c in ("doc_id", "lang", "text_key")), pa.array(out, mask=np.isnan(out)))
-
-        grouped = answers.groupBy("block").agg(F.collect_list("keys").alias("keys"), F.collect_list("values").alias("values"))
-        both = held.join(grouped.hint("shuffle_hash"), "block", "left").select("rows", F.coalesce("keys", F.array()).alias("keys"), F.coalesce("values", F.array()).alias("values"))
-        out = write_table(both.mapInArrow(tidy(score), "doc_id long, lang string, text_key long, perplexity double"), "perplexities", BLOCK_ROWS)
+        copies = max(1, -(-held.select("block").distinct().count() // ASKING))
+        requests = write_table(_requests(held, shards), "requests", BLOCK_ROWS)
+        answers = write_table(_answers(requests, model, shards, copies), "answers", BLOCK_ROWS)
+        drop_tables(requests)
+
+        def score(rows: pa.Table, known: pa.Table) -> pa.Table:
+            keys = [np.zeros(0, np.int64), *map(unpack_keys, known.column("keys").to_pylist())]
+            values = [np.zeros(0, "<f4"), *(np.frombuffer(v, "<f4") for v in known.column("values").to_pylist())]
+            keys, value = np.concatenate(keys), np.concatenate(values)
+            order = np.argsort(keys)
+            return pa.Table.from_batches([_scored(part, keys[order], value[order]) for raw in rows.column("rows") for part in _opened(raw)])
+
+        made = "doc_id long, lang string, text_key long, perplexity double"
+        scored = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, made)
+        out = write_table(scored, "perplexities", BLOCK_ROWS)
         drop_tables(answers)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
