@@ -11,7 +11,7 @@ import __spark_entry__
 from tests.compare import DATA, database, same
 from tidemark.functions import calendars, geo, units
 from tidemark.functions import fields as fn
-from tidemark.operators import blobs, blocking, climate, grid, nodes, profiles, stitch
+from tidemark.operators import blobs, blocking, climate, grid, metrics, nodes, profiles, stitch
 from tidemark.plans import catalogue, fixtures
 from tidemark.sources import netcdf3, node_files
 from tidemark.sources import catalogue as files
@@ -74,27 +74,37 @@ def test_closed_contours(spark, world):
             reach |= grow
         pivot = min((x for x in reach if (t, x) in v), key=lambda x: (v[t, x], round(distance(at[c], at[x]), 9), x))
         flood, grow = {pivot}, True
-        while grow:
-            grow = {y for x in flood for y in near[x] if (t, y) in v and v[t, y] - v[t, pivot] < 8} - flood
+        while grow:  # a visited cell counts whatever its value; the flood goes on behind small changes
+            grow = {y for x in flood if v[t, x] - v[t, pivot] < 8 for y in near[x] if (t, y) in v} - flood
             flood |= grow
         if all(distance(at[pivot], at[x]) <= 70 for x in flood):
             want.add((t, c))
     assert got == want and got | other == set(map(tuple, found.select("time", "cell").collect())) and not got & other
 
 
-def test_contour_delta_is_where_closing_ends(spark, world):
+@pytest.mark.parametrize("sign", [1, -1])
+def test_contour_delta_is_the_largest_change_inside(spark, world, sign):
     f, v = random_field(spark, 2, times=2)
-    found = nodes.extrema(f, world[1], "v")
-    deltas = {(r.time, r.cell): r.delta for r in nodes.max_closed_contour_delta(found, f, *world, "v", 60.0).collect()}
+    found = nodes.extrema(f, world[1], "v", largest=sign < 0)
+    deltas = {(r.time, r.cell): r.delta for r in nodes.max_closed_contour_delta(found, f, *world, "v", 60.0, sign).collect()}
+    values = {(r.time, r.cell): r.contour for r in nodes.contour_value(found, f, *world, "v", 60.0, sign).collect()}
     near, at = neighbours(world)
+    assert deltas and all(sign * d >= 0 and values[k] == v[k] + d for k, d in deltas.items())
     for (t, c), delta in deltas.items():
-        for level, closes in ((delta + 1e-9, True), (delta, True)):
+        change = lambda x: sign * (v[t, x] - v[t, c])
+        inside = {x for x in at if (t, x) in v and distance(at[c], at[x]) < 60}
+        # cells inside by the least bound that reaches them; the least that reaches a cell outside
+        best, ends = {c: 0.0}, float("inf")
+        for bound in sorted({max(change(x), 0.0) for x in at if (t, x) in v}):
             flood, grow = {c}, True
             while grow:
-                grow = {y for x in flood for y in near[x] if (t, y) in v and v[t, y] - v[t, c] < level} - flood
+                grow = {y for x in flood & inside for y in near[x] if (t, y) in v and change(y) <= bound} - flood
                 flood |= grow
-            outside = any(distance(at[c], at[x]) > 60 for x in flood)
-            assert outside == (level > delta) or not any(distance(at[c], at[x]) > 60 for x in at if (t, x) in v)
+            if flood - inside:
+                ends = min(ends, bound)
+            for x in flood & inside:
+                best.setdefault(x, bound)
+        assert sign * delta == max(b for b in best.values() if b <= ends)
 
 
 def test_merge_equal_is_greedy_by_cell(spark, world):
@@ -140,6 +150,29 @@ def test_stencils_of_known_fields(spark):
     assert np.allclose(cd.divergence * geo.EARTH_RADIUS, 0, atol=0.1) and np.corrcoef(cd.curl, np.sin(np.radians(cd.lat)))[0, 1] > 0.97
 
 
+@pytest.mark.parametrize("n, dist", [(8, 15.0), (12, 16.0), (5, 20.0)])
+def test_a_constant_field_has_no_gradient(spark, n, dist):
+    g = grid.lat_lon_grid(spark, 12, 24)
+    one = g.select(F.lit(0).alias("time"), "cell", F.lit(100.0).alias("c"))
+    rows = grid.gradient_magnitude(one, g, "c", n, dist).collect()
+    assert len(rows) == 288 and max(r.gradient for r in rows) < 1e-15
+    rows = grid.laplacian(one, g, "c", n, dist).collect()
+    assert len(rows) == 288 and max(abs(r.laplacian) for r in rows) < 1e-9
+
+
+def test_permutation_test(spark):
+    rng = np.random.default_rng(3)
+    g = grid.lat_lon_grid(spark, 12, 24)
+    x = rng.normal(size=288)
+    rows = [(0, i, float(x[i]), float(x[i] + rng.normal()), float(rng.normal())) for i in range(288)]
+    f = spark.createDataFrame(rows, "time int, cell int, x double, y double, z double")
+    near, far = (metrics.permutation_test(f, "x", c, g, 500, 1).first() for c in "yz")
+    w = {r.cell: np.cos(np.radians(r.lat)) for r in g.collect()}
+    want = np.corrcoef([r[2] * w[r[1]] for r in rows], [r[3] * w[r[1]] for r in rows])[0, 1]
+    assert near.correlation == pytest.approx(want) and near.p == 0 and far.p > 0.02
+    assert metrics.permutation_test(f.where("false"), "x", "y", g, 10).first().p is None
+
+
 def test_distance_join_equals_all_pairs(spark):
     rng = np.random.default_rng(5)
     a, b = ([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(0, 360, 150), np.degrees(np.arcsin(rng.uniform(-1, 1, 150)))))] for _ in range(2))

@@ -6,6 +6,8 @@ tables depend on the grid alone, not on how many times a field has.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,12 +105,29 @@ def ring_points(grid: DataFrame, n: int, dist: float) -> DataFrame:
 
 
 def ring_stencil(grid: DataFrame, n: int, dist: float) -> DataFrame:
-    """(cell, nbr, east, north): ring points moved to their nearest cell, each cell once."""
+    """(cell, nbr, angle, e0, n0, e1, n1): ring points moved to their nearest cells, each cell once.
+
+    ``angle`` is the distance in degrees; (e0, n0) is the direction to the cell at the centre,
+    (e1, n1) the direction away from the centre at the cell itself, (ec, nc) the latter seen
+    from the centre's east and north.
+    """
     points = ring_points(grid, n, dist)
     cells = grid.select(F.col("cell").alias("nbr"), "lon", "lat")
-    near = within(points, cells, nearest_reach(grid)).withColumn("rank", F.row_number().over(Window.partitionBy("cell", "k").orderBy("dist", "nbr"))).where("rank = 1")
-    first = near.where("nbr <> cell").withColumn("rank", F.row_number().over(Window.partitionBy("cell", "nbr").orderBy("k"))).where("rank = 1")
-    return first.select("cell", "nbr", "east", "north")
+    rank = F.row_number().over(Window.partitionBy("cell", "k").orderBy(F.round("dist", 9), "nbr"))
+    near = within(points.select("cell", "k", "lon", "lat"), cells, nearest_reach(grid)).withColumn("rank", rank).where("rank = 1 AND nbr <> cell")
+    places = grid.select("cell", F.radians("lon").alias("x0"), F.radians("lat").alias("y0"))
+    far = grid.select(F.col("cell").alias("nbr"), F.radians("lon").alias("x1"), F.radians("lat").alias("y1"))
+    pairs = near.select("cell", "nbr").distinct().join(places, "cell").join(far, "nbr")
+    d, sin, cos = F.col("x1") - F.col("x0"), F.sin, F.cos
+    cosine = sin("y0") * sin("y1") + cos("y0") * cos("y1") * cos(d)
+    east, north = cos("y1") * sin(d), sin("y1") * cos("y0") - cos("y1") * sin("y0") * cos(d)
+    sine = F.hypot(east, north)
+    back = cos("y0") * sin("y1") * cos(d) - sin("y0") * cos("y1")
+    return pairs.select(
+        "cell", "nbr", F.degrees(F.atan2(sine, cosine)).alias("angle"),
+        (east / sine).alias("e0"), (north / sine).alias("n0"), (cos("y0") * sin(d) / sine).alias("e1"), (back / sine).alias("n1"),
+        (cosine * east / sine).alias("ec"), (cosine * north / sine).alias("nc"),
+    )
 
 
 def nearest_reach(grid: DataFrame) -> float:
@@ -117,21 +136,27 @@ def nearest_reach(grid: DataFrame) -> float:
     return 1.5 * max(360 / ni, 180 / nj)
 
 
+def _with_centre(ring: DataFrame, weights: dict) -> DataFrame:
+    """(cell, nbr, weights): the ring's rows and one for the centre; ``weights`` has a column for
+    the ring and one that the centre sums up, by name."""
+    far = ring.select("cell", "nbr", *(w.alias(name) for name, (w, _) in weights.items()))
+    own = ring.groupBy("cell").agg(*(F.sum(c).alias(name) for name, (_, c) in weights.items()))
+    return far.unionByName(own.withColumn("nbr", F.col("cell")))
+
+
 def laplacian_stencil(grid: DataFrame, n: int, dist: float) -> DataFrame:
-    """(cell, nbr, weight) of 4 / d^2 * (mean of the ring - centre), d in radians."""
-    ring = ring_stencil(grid, n, dist)
-    scale = 4 / (dist * 3.141592653589793 / 180) ** 2
-    share = ring.withColumn("weight", scale / F.count("*").over(Window.partitionBy("cell"))).select("cell", "nbr", "weight")
-    return share.unionAll(grid.select("cell", F.col("cell").alias("nbr"), F.lit(-scale).alias("weight")))
+    """(cell, nbr, weight): 4 / n of the sum of differences from the centre, each over the square
+    of its own distance in radians."""
+    w = 4 / n / F.radians("angle") ** 2
+    return _with_centre(ring_stencil(grid, n, dist), {"weight": (w, -w)})
 
 
 def gradient_stencil(grid: DataFrame, n: int, dist: float) -> DataFrame:
-    """(cell, nbr, weight_e, weight_n): least-squares gradient on a ring, per metre."""
-    ring = ring_stencil(grid, n, dist)
-    w = Window.partitionBy("cell")
-    length = dist * 3.141592653589793 / 180 * geo.EARTH_RADIUS
-    e, nn = F.col("east"), F.col("north")
-    return ring.select("cell", "nbr", (e / F.sum(e * e).over(w) / length).alias("weight_e"), (nn / F.sum(nn * nn).over(w) / length).alias("weight_n"))
+    """(cell, nbr, weight_e, weight_n): gradient per metre from differences between a ring's cells
+    and the centre, along the directions of the cells."""
+    scale = 2 / (geo.EARTH_RADIUS * n * math.radians(dist))
+    e, nn = F.col("ec") * scale, F.col("nc") * scale
+    return _with_centre(ring_stencil(grid, n, dist), {"weight_e": (e, -e), "weight_n": (nn, -nn)})
 
 
 def mean_stencil(grid: DataFrame, dist: float) -> DataFrame:
@@ -170,15 +195,18 @@ def vector_dot_gradient(field: DataFrame, grid: DataFrame, u: str, v: str, value
 
 
 def curl_and_divergence(field: DataFrame, grid: DataFrame, u: str, v: str, n: int, dist: float) -> DataFrame:
-    """Curl and divergence per second from the azimuthal and radial wind on a ring: circulation
-    and flux over the area of the circle, 2 / d times the ring's mean."""
-    ring = ring_stencil(grid, n, dist)
-    w = Window.partitionBy("cell")
-    scale = 2 / (dist * 3.141592653589793 / 180 * geo.EARTH_RADIUS)
-    share = F.lit(scale) / F.count("*").over(w)
-    weights = ring.select("cell", "nbr", (F.col("east") * share).alias("we"), (F.col("north") * share).alias("wn"), (-F.col("north") * share).alias("me"))
-    s = apply_sum(field, weights, {"ue": ("we", u), "vn": ("wn", v), "un": ("me", u), "ve": ("we", v)})
-    return s.select("time", "cell", (F.col("ve") + F.col("un")).alias("curl"), (F.col("ue") + F.col("vn")).alias("divergence"))
+    """Curl and divergence per second: circulation and flux on a ring over the circle's area.
+
+    The azimuthal and radial wind is taken at the centre and at the ring's cells, each with its
+    own directions, and interpolated (or extrapolated) to ``dist``.
+    """
+    scale = 2 / (geo.EARTH_RADIUS * n * math.radians(dist))
+    c1 = F.lit(dist) / F.col("angle") * scale
+    c0 = F.lit(scale) - c1
+    parts = {"we": (c1 * F.col("e1"), c0 * F.col("e0")), "wn": (c1 * F.col("n1"), c0 * F.col("n0"))}
+    weights = _with_centre(ring_stencil(grid, n, dist), parts)
+    s = apply_sum(field, weights, {"ue": ("we", u), "vn": ("wn", v), "un": ("wn", u), "ve": ("we", v)})
+    return s.select("time", "cell", (F.col("ve") - F.col("un")).alias("curl"), (F.col("ue") + F.col("vn")).alias("divergence"))
 
 
 def nearest(points: DataFrame, targets: DataFrame, key: list[str], target_key: str, radius: float, on: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,18 +65,38 @@ def pattern_correlation(field: DataFrame, x: str, y: str, grid: DataFrame) -> Da
     return s.select("time", F.try_divide(c("x", "y", "xy"), F.sqrt(c("x", "x", "xx") * c("y", "y", "yy"))).alias("centred"), F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("uncentred"))
 
 
-def permutation_test(field: DataFrame, x: str, y: str, replicates: int, seed: int = 0) -> DataFrame:
-    """(correlation, p): of the correlation of two columns; p is the share of ``replicates`` random
-    sign flips of x (about its mean) with a correlation as large. Every row meets every
-    replicate inside a partial aggregation, so what is shuffled is a row a replicate."""
-    m = field.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.corr(x, y).alias("r")).first()
-    if m["r"] is None:
-        return field.sparkSession.createDataFrame([(None, None)], "correlation double, p double")
-    rows = field.select((F.col(x) - m["mx"]).alias("x"), (F.col(y) - m["my"]).alias("y"), F.xxhash64(*field.columns).alias("h"))
-    each = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    sign = F.when(F.xxhash64("h", "k", F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0)
-    sums = each.groupBy("k").agg((F.sum(sign * F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") ** 2) * F.sum(F.col("y") ** 2))).alias("r"))
-    return sums.agg(F.lit(m["r"]).alias("correlation"), F.avg((F.abs("r") >= abs(m["r"])).cast("double")).alias("p"))
+#: Rows of a permutation's sample, and of the pool that samples are drawn from.
+PERMUTED, POOL = 1_000, 100_000
+
+
+def permutation_test(field: DataFrame, x: str, y: str, grid: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """(correlation, p): of the correlation of two columns, weighted by the cosine of latitude; p
+    is the share of ``replicates`` in which a permutation of y has one as large.
+
+    The correlation is over all rows. A replicate permutes a random sample of PERMUTED rows (all
+    if there are fewer), which tasks draw from the POOL rows with the smallest hashes.
+    """
+    spark = field.sparkSession
+    w = grid.select("cell", F.cos(F.radians("lat")).alias("w"))
+    known = field.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(F.broadcast(w), "cell")
+    rows = known.select((F.col(x) * F.col("w")).alias("x"), (F.col(y) * F.col("w")).alias("y"), F.xxhash64("time", "cell", F.lit(seed)).alias("h"))
+    r = rows.agg(F.corr("x", "y")).first()[0]
+    if r is None or r != r:
+        return spark.createDataFrame([(None, None)], "correlation double, p double")
+    pool = spark.sparkContext.broadcast(rows.orderBy("h", "x", "y").limit(POOL).select("x", "y").toPandas().to_numpy())
+
+    def permute(batches):
+        for batch in batches:
+            made = []
+            for k in batch["id"]:
+                rng = np.random.default_rng([seed, k])
+                drawn = pool.value[rng.permutation(len(pool.value))[:PERMUTED]]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    made.append(np.corrcoef(drawn[:, 0], rng.permutation(drawn[:, 1]))[0, 1])
+            yield pd.DataFrame({"r": made})
+
+    found = spark.range(replicates).mapInPandas(permute, "r double")
+    return found.agg(F.lit(r).alias("correlation"), F.avg((F.abs("r") >= abs(r)).cast("double")).alias("p"))
 
 
 def block_intensity(cells: DataFrame, value: str, keys: list[str]) -> DataFrame:

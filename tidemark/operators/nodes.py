@@ -174,45 +174,57 @@ class Neighbours:
 def closed(near: Neighbours, value: dict, start: int, delta: float, dist: float, search: float) -> bool:
     """Whether a contour ``delta`` from the extreme near ``start`` closes within ``dist``.
 
-    The pivot is the smallest value (delta > 0; else the largest) within ``search`` of the start;
-    the flood from it through cells that change by less than delta mustn't come to a cell
-    farther than ``dist`` from it. Missing cells end the flood.
+    The pivot is the smallest value (delta > 0; else the largest) within ``search`` of the start.
+    The flood visits its neighbours and goes on behind those that change by less than delta; no
+    visited cell, whatever its value, may be farther than ``dist`` from the pivot. Missing
+    cells aren't visited.
     """
     sign = 1 if delta > 0 else -1
-    known = [x for x in near.disc(start, search) if x in value]
-    if not known:
+    pivot = _pivot(near, value, start, sign, search)
+    if pivot is None:
         return False
-    pivot = min(known, key=lambda x: (sign * value[x], near.distance(start, x), x))
     seen, open_ = {pivot}, [pivot]
     while open_:
         cell = open_.pop()
+        if near.distance(pivot, cell) > dist:
+            return False
+        if sign * (value[cell] - value[pivot]) >= abs(delta):
+            continue
         for other in near.near[cell]:
-            if other not in seen and other in value and sign * (value[other] - value[pivot]) < abs(delta):
-                if near.distance(pivot, other) > dist:
-                    return False
+            if other not in seen and other in value:
                 seen.add(other)
                 open_.append(other)
     return True
 
 
-def largest_closed_delta(near: Neighbours, value: dict, start: int, dist: float, sign: int = 1) -> float:
-    """The largest change for which the contour round ``start`` stays closed: the least, over
-    paths to beyond ``dist``, of the largest change on the path."""
-    best, heap, last = {start: 0.0}, [(0.0, start)], 0.0
+def _pivot(near: Neighbours, value: dict, start: int, sign: int, search: float) -> int | None:
+    """The smallest value (sign > 0; else the largest) near ``start``; ties to the nearer cell."""
+    known = [x for x in near.disc(start, search) if x in value]
+    return min(known, key=lambda x: (sign * value[x], round(near.distance(start, x), 9), x), default=None)
+
+
+def largest_closed_delta(near: Neighbours, value: dict, start: int, dist: float, sign: int = 1, search: float = 0.0) -> tuple[float, float] | None:
+    """(delta, value): the largest change from the extreme near ``start`` for which its contour
+    stays within ``dist``, with the sign of the change, and the value on that contour.
+
+    Cells are taken in the order of their change, of equal ones those within ``dist`` first;
+    the first one at or beyond ``dist`` ends it, and the largest change before it counts. None
+    if there is no value near the start.
+    """
+    pivot = _pivot(near, value, start, sign, search)
+    if pivot is None:
+        return None
+    seen, heap, most = {pivot}, [(0.0, False, pivot)], 0.0
     while heap:
-        level, cell = heapq.heappop(heap)
-        if level > best[cell]:
-            continue
-        last = level
-        if near.distance(start, cell) > dist:
-            return level
+        change, outside, cell = heapq.heappop(heap)
+        if outside:
+            break
+        most = max(most, change)
         for other in near.near[cell]:
-            if other in value:
-                up = max(level, sign * (value[other] - value[start]))
-                if up < best.get(other, np.inf):
-                    best[other] = up
-                    heapq.heappush(heap, (up, other))
-    return last
+            if other not in seen and other in value:
+                seen.add(other)
+                heapq.heappush(heap, (sign * (value[other] - value[pivot]), near.distance(pivot, other) >= dist, other))
+    return sign * most, value[pivot] + sign * most
 
 
 def _per_time(nodes: DataFrame, field: DataFrame, value: str, out: str, kernel) -> DataFrame:
@@ -236,7 +248,23 @@ def closed_contour(nodes: DataFrame, field: DataFrame, grid: DataFrame, edge: Da
     return nodes.join(found.where(F.col("closed") == (1.0 if keep_closed else 0.0)).select("time", "cell"), ["time", "cell"], "left_semi")
 
 
-def max_closed_contour_delta(nodes: DataFrame, field: DataFrame, grid: DataFrame, edge: DataFrame, value: str, dist: float, sign: int = 1) -> DataFrame:
+def max_closed_contour_delta(nodes: DataFrame, field: DataFrame, grid: DataFrame, edge: DataFrame, value: str, dist: float, sign: int = 1, search: float = 0.0) -> DataFrame:
     """(time, cell, delta); see :func:`largest_closed_delta`."""
     near = nodes.sparkSession.sparkContext.broadcast(Neighbours(grid, edge))
-    return _per_time(nodes, field, value, "delta", lambda have, c: largest_closed_delta(near.value, have, c, dist, sign))
+
+    def delta(have, cell):
+        made = largest_closed_delta(near.value, have, cell, dist, sign, search)
+        return np.nan if made is None else made[0]
+
+    return _per_time(nodes, field, value, "delta", delta)
+
+
+def contour_value(nodes: DataFrame, field: DataFrame, grid: DataFrame, edge: DataFrame, value: str, dist: float, sign: int = 1, search: float = 0.0) -> DataFrame:
+    """(time, cell, contour): the value on the outermost closed contour."""
+    near = nodes.sparkSession.sparkContext.broadcast(Neighbours(grid, edge))
+
+    def contour(have, cell):
+        made = largest_closed_delta(near.value, have, cell, dist, sign, search)
+        return np.nan if made is None else made[1]
+
+    return _per_time(nodes, field, value, "contour", contour)

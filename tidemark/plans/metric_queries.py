@@ -70,7 +70,7 @@ def pattern_correlation(spark, sf_dir):
 
 @query()
 def permutation_test(spark, sf_dir):
-    return m.permutation_test(x.field(spark, sf_dir).select("v", "w", "time", "cell"), "v", "w", 200, 1)
+    return m.permutation_test(x.field(spark, sf_dir), "v", "w", x.the_grid(spark), 10_000, 1)
 
 
 @query(_with(x.FIELD) + """, r AS (SELECT time, v, row_number() OVER (PARTITION BY time ORDER BY v) AS up, count(*) OVER (PARTITION BY time) AS n FROM f WHERE v <> 0),

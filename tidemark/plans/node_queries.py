@@ -111,24 +111,62 @@ def stencil_mean(spark, sf_dir):
     return g.apply_mean(x.field(spark, sf_dir), g.mean_stencil(x.the_grid(spark), 20.0), "v").withColumn("mean", F.round("mean", 6))
 
 
-@query()
+#: Ring of 8 points at 15 degrees: nearest cells once each, their angles and directions.
+RING = f"""ring AS (SELECT cell, k, lat2 AS lat, lon + degrees(atan2(sin(t)*sin(d)*cos(y), cos(d)-sin(y)*sin(radians(lat2)))) AS lon FROM (
+      SELECT cell, lon, k, radians(lat) AS y, radians(15.0) AS d, radians(45.0*k) AS t, degrees(asin(sin(radians(lat))*cos(radians(15.0)) + cos(radians(lat))*sin(radians(15.0))*cos(radians(45.0*k)))) AS lat2
+      FROM g, range(0,8) p(k))),
+near AS (SELECT DISTINCT cell, nbr FROM (
+      SELECT r.cell, r.k, arg_min(g.cell, (round({x.gcd('r.lon', 'r.lat', 'g.lon', 'g.lat')}, 9), g.cell)) AS nbr FROM ring r, g GROUP BY 1, 2) WHERE cell <> nbr),
+part AS (SELECT a.cell, nbr, radians(a.lat) AS y0, radians(b.lat) AS y1, radians(b.lon-a.lon) AS d FROM near JOIN g a USING (cell) JOIN g b ON b.cell=nbr),
+dirs AS (SELECT *, cos(y1)*sin(d) AS e, sin(y1)*cos(y0)-cos(y1)*sin(y0)*cos(d) AS n, sin(y0)*sin(y1)+cos(y0)*cos(y1)*cos(d) AS c FROM part),
+st AS (SELECT cell, nbr, c, atan2(sqrt(e*e+n*n), c) AS a, e/sqrt(e*e+n*n) AS e0, n/sqrt(e*e+n*n) AS n0,
+      cos(y0)*sin(d)/sqrt(e*e+n*n) AS e1, (cos(y0)*sin(y1)*cos(d)-sin(y0)*cos(y1))/sqrt(e*e+n*n) AS n1 FROM dirs),
+known AS (SELECT f.time, f.cell, f.v AS v0, f.w AS w0, o.v AS v1, o.w AS w1, st.*EXCLUDE(cell), count(*) OVER (PARTITION BY f.time, f.cell) AS m
+      FROM f JOIN st ON st.cell=f.cell JOIN f o ON o.time=f.time AND o.cell=st.nbr),
+whole AS (SELECT k.* FROM known k JOIN (SELECT cell, count(*) AS m FROM st GROUP BY 1) USING (cell, m)),
+slots AS (SELECT f.time, g.cell, {2 / (EARTH_RADIUS * 8)} / radians(15.0) AS s FROM (SELECT DISTINCT time FROM f) f, g)"""
+
+
+def _ring_sql(made: str, name: str) -> str:
+    """``made`` for each cell that a full ring surrounds; null at times where part of it is missing
+    but some cell of the stencil has a value."""
+    some = "SELECT DISTINCT time, cell FROM (SELECT f.time, st.cell FROM f JOIN st ON st.nbr=f.cell UNION SELECT time, cell FROM f)"
+    return _with(x.GRID, x.FIELD, RING) + f"SELECT p.time, p.cell, {name} FROM ({some}) p LEFT JOIN (SELECT time, cell, {made} FROM whole JOIN slots USING (time, cell) GROUP BY 1, 2) q ON q.time=p.time AND q.cell=p.cell"
+
+
+@query(_ring_sql("round(sum(4.0/8/(a*a)*(v1-v0)), 6) AS laplacian", "laplacian"))
 def stencil_laplacian(spark, sf_dir):
-    return g.laplacian(x.field(spark, sf_dir), x.the_grid(spark), "v", 8, 15.0)
+    made = g.laplacian(x.field(spark, sf_dir), x.the_grid(spark), "v", 8, 15.0)
+    return made.withColumn("laplacian", F.round("laplacian", 6))
 
 
-@query()
+@query(_ring_sql("round(1e6*sqrt(sum(s*c*e0*(v1-v0))**2 + sum(s*c*n0*(v1-v0))**2), 6) AS gradient", "gradient"))
 def stencil_gradient(spark, sf_dir):
-    return g.gradient_magnitude(x.field(spark, sf_dir), x.the_grid(spark), "v", 8, 15.0)
+    made = g.gradient_magnitude(x.field(spark, sf_dir), x.the_grid(spark), "v", 8, 15.0)
+    return made.withColumn("gradient", F.round(1e6 * F.col("gradient"), 6))
 
 
-@query()
+@query(
+    _with(x.GRID, x.FIELD, RING) + """SELECT f.time, f.cell, round(1e6*adv, 6) AS advection FROM f LEFT JOIN (
+      SELECT time, cell, any_value(v0)*(sum(s*c*e0*(w1-w0)) + sum(s*c*n0*(w1-w0))) AS adv FROM whole JOIN slots USING (time, cell) GROUP BY 1, 2) q ON q.time=f.time AND q.cell=f.cell"""
+)
 def stencil_advection(spark, sf_dir):
-    return g.vector_dot_gradient(x.field(spark, sf_dir), x.the_grid(spark), "v", "v", "w", 8, 15.0)
+    made = g.vector_dot_gradient(x.field(spark, sf_dir), x.the_grid(spark), "v", "v", "w", 8, 15.0)
+    return made.withColumn("advection", F.round(1e6 * F.col("advection"), 6))
 
 
-@query()
+_C0, _C1 = "(1-radians(15.0)/a)", "(radians(15.0)/a)"
+
+
+@query(
+    _ring_sql(
+        f"round(1e6*sum(s*({_C0}*(-v0*n0+w0*e0) + {_C1}*(-v1*n1+w1*e1))), 6) AS curl, round(1e6*sum(s*({_C0}*(v0*e0+w0*n0) + {_C1}*(v1*e1+w1*n1))), 6) AS divergence",
+        "curl, divergence",
+    )
+)
 def stencil_curl_divergence(spark, sf_dir):
-    return g.curl_and_divergence(x.field(spark, sf_dir), x.the_grid(spark), "v", "w", 8, 15.0)
+    made = g.curl_and_divergence(x.field(spark, sf_dir), x.the_grid(spark), "v", "w", 8, 15.0)
+    return made.select("time", "cell", F.round(1e6 * F.col("curl"), 6).alias("curl"), F.round(1e6 * F.col("divergence"), 6).alias("divergence"))
 
 
 # ---- nodes
@@ -210,16 +248,49 @@ def max_poleward(spark, sf_dir):
     return n.max_poleward(x.minima(spark, sf_dir), x.field(spark, sf_dir), x.the_grid(spark), "v", 20.0)
 
 
-@query()
+def _contour_sql(rest: str) -> str:
+    """Minima m, their pivots (smallest value of the connected cells within 16 degrees) and the
+    flood ``rest`` from those."""
+    near = f"ang AS (SELECT a.cell, b.cell AS nbr, round({x.gcd('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 9)*CAST(a.cell<>b.cell AS INTEGER) AS dist FROM g a, g b)"
+    disc_ = """reached(start, cell) AS (SELECT cell, cell FROM g UNION
+      SELECT r.start, e.nbr FROM reached r JOIN edge e ON e.cell=r.cell JOIN ang a ON a.cell=r.start AND a.nbr=e.nbr WHERE a.dist <= 16.0)"""
+    origin = """origin AS (SELECT m.time, m.cell AS node, arg_min(f.cell, (f.v, a.dist, f.cell)) AS cell, min(f.v) AS v0
+      FROM m JOIN reached r ON r.start=m.cell JOIN ang a ON a.cell=m.cell AND a.nbr=r.cell JOIN f ON f.time=m.time AND f.cell=r.cell GROUP BY 1, 2)"""
+    return "WITH RECURSIVE " + ", ".join((x.GRID, x.FIELD, x.MINIMA, near, disc_, origin)) + ", " + rest
+
+
+_FLOOD = """flood(time, node, origin, v0, cell, v) AS (SELECT time, node, cell, v0, cell, v0 FROM origin UNION
+      SELECT t.time, t.node, t.origin, t.v0, f.cell, f.v FROM flood t JOIN ang a ON a.cell=t.origin AND a.nbr=t.cell
+      JOIN edge e ON e.cell=t.cell JOIN f ON f.time=t.time AND f.cell=e.nbr WHERE t.v-t.v0 < 30 AND a.dist <= 35.0),
+far AS (SELECT DISTINCT t.time, t.node FROM flood t JOIN ang a ON a.cell=t.origin AND a.nbr=t.cell WHERE a.dist > 35.0)"""
+
+
+@query(_contour_sql(_FLOOD) + " SELECT m.time, m.cell, m.value FROM m ANTI JOIN far ON far.time=m.time AND far.node=m.cell")
 def closed_contour(spark, sf_dir):
     return n.closed_contour(x.minima(spark, sf_dir), x.field(spark, sf_dir), x.the_grid(spark), x.the_edges(spark), "v", 30.0, 35.0, 16.0)
 
 
-@query()
+@query(_contour_sql(_FLOOD) + " SELECT m.time, m.cell, m.value FROM m SEMI JOIN far ON far.time=m.time AND far.node=m.cell")
 def no_closed_contour(spark, sf_dir):
     return n.closed_contour(x.minima(spark, sf_dir), x.field(spark, sf_dir), x.the_grid(spark), x.the_edges(spark), "v", 30.0, 35.0, 16.0, keep_closed=False)
 
 
-@query()
+def _delta_sql(made: str) -> str:
+    """The largest change at which the flood from a pivot is still within 35 degrees: of cells
+    inside, those whose paths change no more than the least of any path to a cell outside."""
+    levels = """level(time, node, origin, v0, cell, up, out) AS (SELECT time, node, cell, v0, cell, CAST(0 AS DOUBLE), 0 FROM origin UNION
+      SELECT t.time, t.node, t.origin, t.v0, f.cell, greatest(t.up, f.v-t.v0), CAST(a.dist >= 35.0 AS INTEGER) FROM level t
+      JOIN edge e ON e.cell=t.cell JOIN f ON f.time=t.time AND f.cell=e.nbr JOIN ang a ON a.cell=t.origin AND a.nbr=e.nbr WHERE t.out = 0),
+least AS (SELECT time, node, v0, cell, out, min(up) AS up FROM level GROUP BY ALL),
+edge_of AS (SELECT time, node, min(up) AS bound FROM least WHERE out = 1 GROUP BY 1, 2)"""
+    return _contour_sql(levels) + f" SELECT l.time, l.node AS cell, {made} FROM least l LEFT JOIN edge_of b ON b.time=l.time AND b.node=l.node WHERE out = 0 AND (bound IS NULL OR up <= bound) GROUP BY 1, 2"
+
+
+@query(_delta_sql("max(up) AS delta"))
 def max_contour_delta(spark, sf_dir):
-    return n.max_closed_contour_delta(x.minima(spark, sf_dir), x.field(spark, sf_dir), x.the_grid(spark), x.the_edges(spark), "v", 35.0)
+    return n.max_closed_contour_delta(x.minima(spark, sf_dir), x.field(spark, sf_dir), x.the_grid(spark), x.the_edges(spark), "v", 35.0, search=16.0)
+
+
+@query(_delta_sql("any_value(v0) + max(up) AS contour"))
+def outermost_contour(spark, sf_dir):
+    return n.contour_value(x.minima(spark, sf_dir), x.field(spark, sf_dir), x.the_grid(spark), x.the_edges(spark), "v", 35.0, search=16.0)
