@@ -100,9 +100,14 @@ def test_index_update(spark):
     docs = [(i, f"t{i % 40}") for i in range(100)]
     index = build_index(content_digests(documents(spark, docs)), 3)
     batch = content_digests(documents(spark, [(200, "t0"), (201, "new")])).withColumn("op", F.lit("insert")).unionAll(content_digests(documents(spark, [(1, "t1"), (41, "t1"), (81, "t1"), (5, "none")])).withColumn("op", F.lit("delete")))
-    got = {bytes(r.digest): (r.keep_id, r.group_size) for r in update_index(index, batch, 3).collect()}
+    members = content_digests(documents(spark, docs))
+    got = {bytes(r.digest): (r.keep_id, r.group_size) for r in update_index(index, batch, members, 3).collect()}
     digest = lambda t: hashlib.sha256(t.encode()).digest()
     assert got[digest("t0")] == (200, 4) and got[digest("new")] == (201, 1) and digest("t1") not in got and len(got) == 40
+    # the copy that stayed goes: the largest one left stays
+    batch = content_digests(documents(spark, [(82, "t2"), (43, "t3"), (7, "t5")])).withColumn("op", F.lit("delete"))
+    got = {bytes(r.digest): (r.keep_id, r.group_size) for r in update_index(index, batch, members, 3).collect()}
+    assert got[digest("t2")] == (42, 2) and got[digest("t3")] == (83, 2) and got[digest("t5")] == (85, 3)
 
 
 def test_near_edges(spark):
@@ -187,6 +192,8 @@ def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, " ".join(f"Word{i}" for i in range(100, 130)), 0), (2, "one two", 0), (3, None, 0), (4, "a b c d e f", 0), (4, "a b c d e f", 0), (None, "one two", 1)], "item_id long, text string, hash int")
     got = sorted(map(tuple, contaminated(documents(spark, EDGES), items).collect()))
     assert got == [(4, 2, 1, 1), (5, 2, 1, 1), (6, 1, 26, 26), (7, 1, 26, 26)]
+    more = documents(spark, [(30, "x y one two z w v u t"), (31, "one x two y z w v u t"), (32, "ends with one TWO"), (33, "one")])
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(more, items).collect()) == [(30, 2), (32, 2)]
     assert contaminated(documents(spark, []), items).count() == 0 and contaminated(documents(spark, EDGES), items.where("false")).count() == 0
 
 

@@ -32,6 +32,17 @@ def shingle_texts(w: str, k: int) -> Column:
     return F.array_distinct(_runs(w, k, lambda i, parts: F.concat_ws(" ", *parts)))
 
 
+def _with_short(w: str, k: int, sizes: list[int], make, joined) -> Column:
+    """The runs of k words and those of each of the shorter ``sizes``, each once."""
+    array = F.col(w)
+
+    def short(n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(array) - n), lambda i: joined(*[F.get(array, i + j) for j in range(n)]))
+        return F.when(F.size(array) >= n, runs).otherwise(F.array())
+
+    return F.array_distinct(F.concat(F.coalesce(make(w, k), F.array()), *map(short, sizes)))
+
+
 def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
@@ -55,8 +66,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
     """(doc_id, item_id, n_shingles, n_contained): documents that hold a benchmark item.
 
     An item is held when ``percent`` or more of its distinct k-word shingles are among the
-    document's; shingles are of lower-cased words, and a text of fewer than k words is one
-    shingle as a whole, so that a shorter item is held only by equal texts. Candidates are
+    document's; shingles are of lower-cased words. An item of fewer than k words is one shingle
+    as a whole and is held wherever its words stand together. An item_id with several texts
+    is held once for each of them that is. Candidates are
     documents of which a shingle's hash is in the item's MinHash sketch (no document is
     missed, see :func:`item_sketches`); they are verified on the shingles themselves. Null,
     empty and blank texts hold nothing and are held by nothing. Rows that repeat a doc_id
@@ -69,11 +81,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
     sketch = write_table(item_sketches(items, percent), "sketch")
     bounds = sketch.agg(F.max("hash").alias("top"), F.count("*").alias("n")).first()
     top = bounds["top"] if bounds["top"] is not None else -(2**63)
-    own = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.filter(shingle_hashes("w", k), lambda h: h <= F.lit(top))).alias("hash"))
+    sizes = sorted(r["n"] for r in bench.select(F.size("w").alias("n")).where(F.col("n") < k).distinct().collect())
+    hashes = _with_short("w", k, sizes, shingle_hashes, F.xxhash64)
+    own = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.filter(hashes, lambda h: h <= F.lit(top))).alias("hash"))
     hits = own.join(_small(sketch.select("hash", "item_id").distinct(), bounds["n"]), "hash").select("doc_id", "item_id").distinct()
     pairs = write_table(hits, "candidates")
     ids = pairs.select("doc_id").distinct()
-    found = docs.join(_small(ids), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_texts("w", k)).alias("shingle"))
+    found = docs.join(_small(ids), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(_with_short("w", k, sizes, shingle_texts, lambda *parts: F.concat_ws(" ", *parts))).alias("shingle"))
     wanted = items.select("item_id", F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("shingle"))
     held = found.join(_small(wanted), "shingle").groupBy("doc_id", "item_id", "n_shingles").agg(F.count_distinct("shingle").alias("n_contained"))
     enough = held.where(100 * F.col("n_contained") >= percent * F.col("n_shingles"))

@@ -99,9 +99,11 @@ SQL = {
             SELECT 0 AS of_item, doc_id AS id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
             UNION ALL
             SELECT 1, item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') FROM benchmark),
+        lengths AS (SELECT DISTINCT least(len(w), 5) AS k FROM texts WHERE of_item = 1 AND len(w) > 0),
         shingles AS (
-            SELECT DISTINCT of_item, id, array_to_string(w[i:i + 4], ' ') AS s
-            FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0)),
+            SELECT DISTINCT of_item, id, array_to_string(w[i:i + k - 1], ' ') AS s
+            FROM (SELECT of_item, id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM texts JOIN lengths
+                  ON CASE of_item WHEN 1 THEN k = least(len(w), 5) ELSE k <= len(w) END)),
         sizes AS (SELECT id AS item_id, count(*) AS n FROM shingles WHERE of_item = 1 GROUP BY 1)
         SELECT c.doc_id, c.item_id, n AS n_shingles, c.m AS n_contained FROM (
             SELECT d.id AS doc_id, b.id AS item_id, count(*) AS m

@@ -238,8 +238,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear |
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id")).limit(sample)
 
+    mined = toxic_terms(docs.join(known, "doc_id").select("toxic", "text")).toPandas()
+    terms = mine_terms(mined["key"].to_numpy(np.int64).view(np.uint64), mined["word"].to_numpy(bool))
+    shared = spark.sparkContext.broadcast(terms)
+
     def features(batches):
         for batch in batches:
+            masks = votes(batch.column(1), shared.value)
             for first, last, data, offsets in text_chunks(batch.column(1)):
                 rows, keys = _features(data, offsets)
                 order = np.lexsort((keys, rows))
@@ -248,27 +253,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear |
                 new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
                 rows, keys = rows[new], keys[new]
                 cut = np.searchsorted(rows, np.arange(last - first + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(first, last - first), pa.array([keys[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["toxic", "keys"])
+                made = [keys[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(first, last - first), pa.array(masks[first:last]), pa.array(made, pa.binary())], ["toxic", "mask", "keys"])
 
     joined = docs.where("doc_id IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    got = joined.mapInArrow(tidy(features), "toxic int, keys binary").toPandas()
+    got = joined.mapInArrow(tidy(features), "toxic int, mask long, keys binary").toPandas()
     toxic = got["toxic"].to_numpy(float)
     if not len(got) or toxic.min() == toxic.max():
         return None
     parts = [np.frombuffer(x, np.uint64) for x in got["keys"]]
     rows, keys = np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts)
-    mined = toxic_terms(docs.join(known, "doc_id").select("toxic", "text")).toPandas()
-    terms = mine_terms(mined["key"].to_numpy(np.int64).view(np.uint64), mined["word"].to_numpy(bool))
-    shared = spark.sparkContext.broadcast(terms)
 
     def vote(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(votes(batch.column(0), shared.value))], ["mask"])
 
     patterns = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(tidy(vote), "mask long").groupBy("mask").count().toPandas()
-    masks = np.zeros(len(got), np.int64)
-    at = _find(keys, terms.keys)
-    np.bitwise_or.at(masks, rows[at >= 0], np.int64(1) << terms.voter[at[at >= 0]])
+    masks = got["mask"].to_numpy(np.int64)
     x = ((masks[:, None] >> np.arange(VOTERS)) & 1).astype(float)
     rate = np.array([np.clip((x[toxic == y].sum(0) + 0.5) / ((toxic == y).sum() + 1), 1e-5, 1 - 1e-5) for y in (0, 1)])
     start = LabelModel(float(np.clip(toxic.mean(), 1e-4, 0.5)), rate, np.ones(VOTERS))
