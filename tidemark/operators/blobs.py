@@ -114,7 +114,7 @@ def overlaps(blobs: DataFrame, steps: DataFrame, grid: DataFrame) -> DataFrame:
 
     ``steps`` (time, step) numbers the times.
     """
-    cells = blobs.join(F.broadcast(steps), "time").join(F.broadcast(grid.select("cell", "area")), "cell").select("step", "cell", "blob", "area")
+    cells = blobs.join(steps, "time").join(F.broadcast(grid.select("cell", "area")), "cell").select("step", "cell", "blob", "area")
     size = cells.groupBy("step", "blob").agg(F.sum("area").alias("size"))
     before = cells.select((F.col("step") + 1).alias("step"), "cell", F.col("blob").alias("prev"))
     met = cells.join(before, ["step", "cell"]).groupBy("step", "blob", "prev").agg(F.sum("area").alias("shared"))
@@ -140,12 +140,15 @@ def link_components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut lineage in the session's checkpoint folder; a temporary one only where none is set."""
+    """Cut lineage in the session's checkpoint folder; a temporary one only where none is set, and
+    that only in local mode."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
         folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
 
@@ -167,7 +170,7 @@ def objects(blobs: DataFrame, steps: DataFrame, grid: DataFrame, least_next: flo
     """
     links = overlaps(blobs, steps, grid).where(F.col("share_next").between(least_next, most_next + 1e-9) & F.col("share_prev").between(least_prev, most_prev + 1e-9))
     number = lambda step, blob: F.col(step).cast("long") * 2**32 + F.col(blob)
-    named = blobs.join(F.broadcast(steps), "time").withColumn("id", number("step", "blob"))
+    named = blobs.join(steps, "time").withColumn("id", number("step", "blob"))
     pairs = links.select(number("step", "blob").alias("a"), ((F.col("step") - 1).cast("long") * 2**32 + F.col("prev")).alias("b"))
     found = link_components(pairs, named.select("id").distinct())
     order = numbered(found.select("component").distinct(), "component", "object_id")

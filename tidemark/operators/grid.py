@@ -166,7 +166,7 @@ def mean_stencil(grid: DataFrame, dist: float) -> DataFrame:
 
 def apply_mean(field: DataFrame, stencil: DataFrame, value: str, out: str = "mean") -> DataFrame:
     """Weighted mean over a stencil's cells that aren't missing."""
-    joined = field.select("time", F.col("cell").alias("nbr"), F.col(value).alias("_v")).where("_v IS NOT NULL").join(F.broadcast(stencil), "nbr")
+    joined = field.select("time", F.col("cell").alias("nbr"), F.col(value).alias("_v")).where("_v IS NOT NULL").join(stencil, "nbr")
     return joined.groupBy("time", "cell").agg((F.sum(F.col("weight") * F.col("_v")) / F.sum("weight")).alias(out))
 
 
@@ -175,9 +175,9 @@ def apply_sum(field: DataFrame, stencil: DataFrame, sums: dict) -> DataFrame:
     whole stencil has a value."""
     values = sorted({v for _, v in sums.values()})
     whole = stencil.groupBy("cell").agg(F.count("*").alias("_n"))
-    rows = field.select("time", F.col("cell").alias("nbr"), *values).dropna(subset=values).join(F.broadcast(stencil), "nbr")
+    rows = field.select("time", F.col("cell").alias("nbr"), *values).dropna(subset=values).join(stencil, "nbr")
     made = rows.groupBy("time", "cell").agg(F.count("*").alias("_m"), *(F.sum(F.col(w) * F.col(v)).alias(name) for name, (w, v) in sums.items()))
-    return made.join(F.broadcast(whole), "cell").select("time", "cell", *(F.when(F.col("_m") == F.col("_n"), F.col(name)).alias(name) for name in sums))
+    return made.join(whole, "cell").select("time", "cell", *(F.when(F.col("_m") == F.col("_n"), F.col(name)).alias(name) for name in sums))
 
 
 def laplacian(field: DataFrame, grid: DataFrame, value: str, n: int, dist: float) -> DataFrame:

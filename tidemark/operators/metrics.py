@@ -121,14 +121,14 @@ def regrid_bilinear(field: DataFrame, value: str, targets: DataFrame, dlon: floa
     weight = F.when(F.col("c.a") == 1, F.col("fx")).otherwise(1 - F.col("fx")) * F.when(F.col("c.b") == 1, F.col("fy")).otherwise(1 - F.col("fy"))
     spots = at.select("target", F.pmod(i + F.col("c.a"), F.lit(n)).alias("i"), (j + F.col("c.b")).alias("j"), weight.alias("w"))
     known = field.where(F.col(value).isNotNull()).select("time", "i", "j", F.col(value).alias("_v"))
-    made = known.join(F.broadcast(spots), ["i", "j"]).groupBy("time", "target").agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("_v")).alias("value"))
+    made = known.join(spots, ["i", "j"]).groupBy("time", "target").agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("_v")).alias("value"))
     return made.select("time", "target", F.when(F.col("n") == 4, F.col("value")).alias("value"))
 
 
 def reduce_polygons(field: DataFrame, value: str, members: DataFrame, grid: DataFrame) -> DataFrame:
     """(time, shape, mean, sum, q25, median, q75): area-weighted mean and sum, and order statistics,
     of the cells of each shape. ``members`` has shape, cell."""
-    rows = field.where(F.col(value).isNotNull()).join(F.broadcast(members), "cell").join(F.broadcast(grid.select("cell", "area")), "cell").select("time", "shape", "area", F.col(value).alias("v"))
+    rows = field.where(F.col(value).isNotNull()).join(members, "cell").join(F.broadcast(grid.select("cell", "area")), "cell").select("time", "shape", "area", F.col(value).alias("v"))
     w = Window.partitionBy("time", "shape")
     ranked = rows.withColumn("k", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count("*").over(w))
     order = lambda q: F.max(F.when(F.col("k") == F.floor((F.col("n") - 1) * q), F.col("v")))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import lon_difference, norm_lon
 from .grid import within
 
 COMPARE = {">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b}
@@ -63,7 +64,7 @@ def merge_near(nodes: DataFrame, grid: DataFrame, dist: float, largest: bool = F
 def threshold_near(nodes: DataFrame, field: DataFrame, disc: DataFrame, value: str, op: str, limit: float) -> DataFrame:
     """Nodes with a cell in their disc (cell, nbr, dist) whose value satisfies the comparison."""
     good = field.where(compare(value, op, limit)).select("time", F.col("cell").alias("nbr"))
-    hit = good.join(F.broadcast(disc.select("cell", "nbr")), "nbr").select("time", "cell").distinct()
+    hit = good.join(disc.select("cell", "nbr"), "nbr").select("time", "cell").distinct()
     return nodes.join(hit, ["time", "cell"], "left_semi")
 
 
@@ -101,13 +102,13 @@ def in_region(nodes: DataFrame, grid: DataFrame, box: tuple | None = None, min_a
         lon = (lon0, lon1) if lon0 != lon1 else (0.0, 359.999999)
         lat = (lat0, lat1) if lat0 != lat1 else (-90.0, 90.0)
         spots = spots.where(in_box("lon", "lat", *lon, *lat))
-    return nodes.join(F.broadcast(spots.select("cell")), "cell", "left_semi")
+    return nodes.join(spots.select("cell"), "cell", "left_semi")
 
 
 def around(nodes: DataFrame, field: DataFrame, disc: DataFrame, value: str) -> DataFrame:
     """A row for each node and cell of its disc that isn't missing: time, cell, nbr, dist, v."""
     v = field.where(F.col(value).isNotNull()).select("time", F.col("cell").alias("nbr"), F.col(value).alias("v"))
-    return nodes.select("time", "cell").join(F.broadcast(disc), "cell").join(v, ["time", "nbr"])
+    return nodes.select("time", "cell").join(disc, "cell").join(v, ["time", "nbr"])
 
 
 def measure(nodes: DataFrame, field: DataFrame, disc: DataFrame, value: str) -> DataFrame:
@@ -135,15 +136,19 @@ def positive_minus_negative_area(nodes: DataFrame, field: DataFrame, disc: DataF
 
 
 def max_poleward(nodes: DataFrame, field: DataFrame, grid: DataFrame, value: str, width: float) -> DataFrame:
-    """Largest value poleward of each node within ``width`` degrees of its longitude."""
-    from ..functions.geo import lon_difference
+    """Largest value poleward of each node within ``width`` degrees of its longitude.
 
-    own = grid.select("cell", "lon", "lat")
-    other = grid.select(F.col("cell").alias("nbr"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    # pairs of grid cells of one hemisphere: the size of the grid, whatever the field's
-    reach = own.join(other, (F.signum("lat") == F.signum("lat2")) & (F.abs("lat2") >= F.abs("lat")) & (F.abs(lon_difference("lon", "lon2")) < width))
-    v = field.where(F.col(value).isNotNull()).select("time", F.col("cell").alias("nbr"), F.col(value).alias("v"))
-    return nodes.select("time", "cell").join(F.broadcast(reach.select("cell", "nbr")), "cell").join(v, ["time", "nbr"]).groupBy("time", "cell").agg(F.max("v").alias("maxpoleward"))
+    Nodes and values meet by time, hemisphere and columns of longitude as wide as ``width``.
+    """
+    columns = max(1, int(360 // width))
+    place = F.least(F.floor(norm_lon("lon") / 360 * columns), F.lit(columns - 1)).cast("int")
+    at = grid.select("cell", "lon", "lat", F.signum("lat").alias("half"), place.alias("column"))
+    steps = F.array_distinct(F.array(*(F.pmod(F.col("column") + d, F.lit(columns)) for d in (-1, 0, 1))))
+    spots = nodes.select("time", "cell").join(at, "cell").withColumn("column", F.explode(steps))
+    values = field.where(F.col(value).isNotNull()).select("time", "cell", F.col(value).alias("v")).join(at, "cell")
+    values = values.select("time", "half", "column", "v", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    near = spots.join(values, ["time", "half", "column"]).where((F.abs("lat2") >= F.abs("lat")) & (F.abs(lon_difference("lon", "lon2")) < width))
+    return near.groupBy("time", "cell").agg(F.max("v").alias("maxpoleward"))
 
 
 class Neighbours:
