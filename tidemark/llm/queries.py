@@ -1,4 +1,4 @@
-"""The ten operators' queries over the driver's tables, and SQL for those that it can state."""
+"""The operators' queries over the driver's tables, and SQL for those that it can state."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from .substring import repeated_passages
 from .token_file import read_tokens, write_tokens
 from .toxicity import score_toxicity
 from .warc import read_warc, write_warc
+from .whitening import whiten
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -66,7 +67,16 @@ def op10_preferences(spark, sf_dir):
     return format_preferences(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_decontamination, op5_substring, op6_packing, op7_toxicity, op8_token_file, op9_warc, op10_preferences)}
+def op11_whitening(spark, sf_dir):
+    rows = whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+_ALL = (
+    op1_exact_dedup, op2_near_dedup, op3_quality, op4_decontamination, op5_substring, op6_packing, op7_toxicity,
+    op8_token_file, op9_warc, op10_preferences, op11_whitening,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {b}) & 31) + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))
 
