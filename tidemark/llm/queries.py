@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .packing import pack
 from .quality import classify_quality
+from .spelling import spelling_variants
 from .substring import repeated_passages
 from .token_file import read_tokens, write_tokens
 from .toxicity import score_toxicity
@@ -72,14 +73,27 @@ def op11_whitening(spark, sf_dir):
     return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_spelling(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_exact_dedup, op2_near_dedup, op3_quality, op4_decontamination, op5_substring, op6_packing, op7_toxicity,
-    op8_token_file, op9_warc, op10_preferences, op11_whitening,
+    op8_token_file, op9_warc, op10_preferences, op11_whitening, op13_spelling,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {b}) & 31) + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))
 
+
+def _crc_table() -> list[int]:
+    """What each byte does to a CRC-32 with the reflected polynomial EDB88320."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
 SQL = {
     "op1_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -154,4 +168,40 @@ SQL = {
             UNION ALL
             SELECT chosen_id, rejected_id, pairing, 'rejected', turn, role, rendered
             FROM cut JOIN t ON t.conv_id = rejected_id AND turn >= split)""",
+    "op13_spelling": f"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, w, count(*) AS n FROM (
+                SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents)
+            GROUP BY 1, 2),
+        bytes AS (
+            SELECT doc_id, w, n, list_transform(range(1, CAST(length(h) AS BIGINT), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)) AS b
+            FROM (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS h FROM runs)),
+        hashed AS (
+            SELECT w, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x:
+                xor(c >> 8, CAST({_crc_table()}[(xor(c, x) & 255) + 1] AS BIGINT)))) AS h
+            FROM bytes),
+        words AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+                SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM hashed)
+            GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+        holes AS (
+            SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS hole FROM (
+                SELECT word, n, unnest(range(1, CAST(length(word) AS BIGINT) + 1)) AS i FROM words)),
+        near AS (
+            SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.hole = b.hole AND a.i = b.i AND a.word <> b.word
+            UNION
+            SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.hole = b.word
+            UNION
+            SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.hole = b.word),
+        best AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS best FROM near GROUP BY 1),
+        forms AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * w.n THEN best[2] END AS form,
+                   CASE WHEN -best[1] >= 2 * w.n THEN -best[1] END AS form_n
+            FROM words w LEFT JOIN best b ON b.word = w.word),
+        chain AS (
+            SELECT word, word AS root FROM forms
+            UNION ALL
+            SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f
+        JOIN (SELECT c.word, c.root FROM chain c JOIN forms e ON e.word = c.root AND e.form IS NULL) c ON c.word = f.word""",
 }
