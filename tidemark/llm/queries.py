@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import format_preferences
 from .decontam import contaminated
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .near_dedup import near_dedup
 from .packing import pack
 from .quality import classify_quality
@@ -73,13 +74,17 @@ def op11_whitening(spark, sf_dir):
     return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_jaccard_join(spark, sf_dir):
+    return jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op13_spelling(spark, sf_dir):
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
 _ALL = (
     op1_exact_dedup, op2_near_dedup, op3_quality, op4_decontamination, op5_substring, op6_packing, op7_toxicity,
-    op8_token_file, op9_warc, op10_preferences, op11_whitening, op13_spelling,
+    op8_token_file, op9_warc, op10_preferences, op11_whitening, op12_jaccard_join, op13_spelling,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -94,13 +99,10 @@ def _crc_table() -> list[int]:
     return out
 
 
-SQL = {
-    "op1_exact_dedup": f"""
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
-        FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents)
-        WINDOW w AS (PARTITION BY t)""",
-    "op2_near_dedup": f"""
+def _linked_components(percent: int, *more: str) -> str:
+    """Documents, the sizes of their sets of 4-word shingles, and the smallest id they reach."""
+    more = "".join(", " + m for m in more)
+    return f"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         shingles AS (
@@ -111,13 +113,22 @@ SQL = {
             SELECT c.a, c.b FROM (
                 SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) c
             JOIN sizes p ON p.doc_id = c.a JOIN sizes q ON q.doc_id = c.b
-            WHERE 100 * c.n >= 80 * (p.n + q.n - c.n)),
+            WHERE 100 * c.n >= {percent} * (p.n + q.n - c.n)),
         reach(doc_id, other) AS (
             SELECT doc_id, doc_id FROM documents
             UNION
             SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
-        SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id, r.doc_id = min(r.other) AS kept
-        FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
+        SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id{more}
+        FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+
+SQL = {
+    "op1_exact_dedup": f"""
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents)
+        WINDOW w AS (PARTITION BY t)""",
+    "op2_near_dedup": _linked_components(80, "r.doc_id = min(r.other) AS kept"),
     "op4_decontamination": """
         WITH texts AS (
             SELECT 0 AS of_item, doc_id AS id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -168,6 +179,7 @@ SQL = {
             UNION ALL
             SELECT chosen_id, rejected_id, pairing, 'rejected', turn, role, rendered
             FROM cut JOIN t ON t.conv_id = rejected_id AND turn >= split)""",
+    "op12_jaccard_join": _linked_components(85),
     "op13_spelling": f"""
         WITH RECURSIVE runs AS (
             SELECT doc_id, w, count(*) AS n FROM (
