@@ -117,19 +117,19 @@ def _may_link(na, nb, differing, percent: int):
     return 100 * most >= percent * (na + nb - most)
 
 
-def signed_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, signature, hashes): the sorted distinct shingle hashes of documents, with bitmaps."""
+def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, signature): the sizes and bitmaps of documents' shingle sets."""
 
     def sign(batches):
         for batch in batches:
             made = [np.frombuffer(h.as_buffer(), np.uint64) for h in batch.column(2)]
             signature = [parity_signature(h, width_for(len(h))).tobytes() for h in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signature, pa.binary()), batch.column(2)], ["id", "n", "signature", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signature, pa.binary())], ["id", "n", "signature"])
 
-    return shingle_sets(docs, k).where("n > 0").mapInArrow(tidy(sign), "id long, n long, signature binary, hashes binary")
+    return shingle_sets(docs, k).where("n > 0").mapInArrow(tidy(sign), "id long, n long, signature binary")
 
 
-def unrefuted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def unrefuted(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and bitmaps don't rule out."""
 
     def test(batches):
@@ -142,41 +142,69 @@ def unrefuted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(_may_link(na, nb, differing, percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("y")), "b")
-    both = one.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("x")), "a")
+    one = pairs.join(signed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("y")), "b")
+    both = one.join(signed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("x")), "a")
     fit = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return fit.select("a", "b", "na", "nb", "x", "y").mapInArrow(tidy(test), "a long, b long")
 
 
+def _by_tile(rows) -> list[np.ndarray]:
+    """The row numbers of each tile in a group."""
+    token = np.unique(rows["token"].to_numpy(), return_inverse=True)[1]
+    return np.split(np.argsort(token, kind="stable"), np.cumsum(np.bincount(token))[:-1])
+
+
+def _met(i: int, side: np.ndarray, size: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """The rows of a tile that row i is held against: of the other block, or after it in its own;
+    of another component and a size that can be linked."""
+    later = side != 1 if side[i] == 1 else np.arange(len(side)) > i
+    return np.flatnonzero(later & apart & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+
+
+def _tile_suspects(percent: int):
+    """The rows of each tile whose bitmap refutes not all links to other components."""
+
+    def mark(key, rows):
+        n, side, of = (rows[c].to_numpy() for c in ("n", "side", "component"))
+        wide = [np.frombuffer(h.as_buffer(), np.uint64) for h in rows["signature"].combine_chunks()]
+        kept = np.zeros(len(n), bool)
+        for tile in _by_tile(rows):
+            size, part, comp = n[tile], side[tile], of[tile]
+            lengths = np.array([len(wide[i]) for i in tile])
+            for length in np.unique(lengths):
+                width = 64 * int(length)
+                # a link's sizes differ by less than two, so its widths by one step at most
+                own = np.flatnonzero((lengths == length) | (lengths == 2 * length))
+                signature = np.stack([folded(wide[i], width) for i in tile[own]])
+                for x in np.flatnonzero(part[own] != 2):
+                    y = _met(x, part[own], size[own], comp[own] != comp[own[x]], percent)
+                    if len(y):
+                        differing = np.bitwise_count(signature[y] ^ signature[x]).sum(1, dtype=np.int64)
+                        y = y[_may_link(size[own[y]], size[own[x]], differing, percent)]
+                        if len(y):
+                            kept[tile[own[y]]] = kept[tile[own[x]]] = True
+        return rows.drop_columns(["signature"]).filter(pa.array(kept))
+
+    return mark
+
+
 def _tile_links(percent: int):
-    """Links between different components within each tile of a group: sizes, then bitmaps of
-    one row against all others, then exact intersection, unless links before it join the two."""
+    """Links between different components within each tile of a group by exact intersection of
+    sorted sets, unless links before join the two."""
 
     def compare(key, rows):
         out_a, out_b = [], []
-        tokens, token = np.unique(rows["token"].to_numpy(), return_inverse=True)
-        n, rep, side = (rows[c].to_numpy() for c in ("n", "rep", "side"))
+        n, rep, side, of = (rows[c].to_numpy() for c in ("n", "rep", "side", "component"))
         sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in rows["hashes"].combine_chunks()]
-        by_tile = np.split(np.argsort(token, kind="stable"), np.cumsum(np.bincount(token))[:-1])
-        of = rows["component"].to_numpy()
-        for tile in by_tile:
+        for tile in _by_tile(rows):
             names, comp = np.unique(of[tile], return_inverse=True)
-            if len(names) < 2:
-                continue
-            parent = np.arange(len(names))
-            width = width_for(int(n[tile].max()))
-            signature = np.stack([parity_signature(sets[i], width) for i in tile])
-            size, part = n[tile], side[tile]
+            parent, size, part = np.arange(len(names)), n[tile], side[tile]
             for i in np.flatnonzero(part != 2):
-                later = part != 1 if part[i] == 1 else np.arange(len(tile)) > i
-                j = np.flatnonzero(later & (parent[comp] != parent[comp[i]]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
-                if not len(j):
-                    continue
-                differing = np.bitwise_count(signature[j] ^ signature[i]).sum(1, dtype=np.int64)
-                for o in j[_may_link(size[j], size[i], differing, percent)]:
+                x = sets[tile[i]]
+                for o in _met(i, part, size, parent[comp] != parent[comp[i]], percent):
                     if parent[comp[o]] == parent[comp[i]]:
                         continue
-                    x, y = sets[tile[i]], sets[tile[o]]
+                    y = sets[tile[o]]
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * common >= percent * (len(x) + len(y) - common):
                         out_a.append(rep[tile[i]])
@@ -187,9 +215,11 @@ def _tile_links(percent: int):
     return compare
 
 
-def tile_links(tiles: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def tile_links(tiles: DataFrame, comps: DataFrame, signed: DataFrame, percent: int, sets_of) -> DataFrame:
     """Links between different components that share a tile, as many as join what all would.
 
+    Bitmaps first tell which rows of a tile may be linked at all; only those bring their sets,
+    ``sets_of`` (ids), to be intersected.
     ``tiles`` (token, band, rep, n). A tile that fits in a block is compared in one task, many
     small ones together; a larger one is cut into blocks by size band, and each block meets the
     blocks of its own band and of the next one. Of tiles with equal members one is compared.
@@ -212,9 +242,13 @@ def tile_links(tiles: DataFrame, comps: DataFrame, sets: DataFrame, percent: int
     mine, met = F.struct("band", "own"), F.struct(F.col("met").alias("band"), F.col("other").alias("own"))
     side = F.when(mine == met, 0).when(mine < met, 1).otherwise(2).alias("side")
     dealt = dealt.select(*columns, side, F.xxhash64("token", F.least(mine, met), F.greatest(mine, met)).alias("block"))
-    full = small.unionByName(dealt).join(sets.select(F.col("id").alias("rep"), "hashes"), "rep")
+    every = small.unionByName(dealt).join(signed.select(F.col("id").alias("rep"), "signature"), "rep").select(*columns, "side", "block", "signature")
+    schema = "token long, rep long, n long, component long, side int, block long"
+    suspects = write_table(every.groupBy("block").applyInArrow(_tile_suspects(percent), schema), "suspects")
+    sets = sets_of(suspects.select("rep"))
+    full = suspects.join(sets.select(F.col("id").alias("rep"), "hashes"), "rep")
     links = write_table(full.groupBy("block").applyInArrow(_tile_links(percent), "a long, b long").distinct(), "links")
-    drop_tables(open_)
+    drop_tables(open_, suspects, sets)
     return links
 
 
@@ -247,21 +281,30 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     shared = tokens.withColumn("m", F.count("*").over(same_token)).withColumn("small", F.max("head").over(same_token)).where("m > 1 AND small")
     tiles = write_table(shared.select("token", band.alias("band"), "rep", "n"), "tiles", TEXT_ROWS)
     ids = write_table(tiles.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    sets = write_table(signed_sets(texts_of(docs, ids, ids.count()), k), "sets", TEXT_ROWS)
+    signed = write_table(signatures(texts_of(docs, ids, ids.count()), k), "signatures", TEXT_ROWS)
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The sets of so few documents as are still suspected."""
+        few = write_table(ids.toDF("doc_id").distinct(), "ids")
+        sets = write_table(shingle_sets(texts_of(docs, few, few.count()), k), "sets", TEXT_ROWS)
+        drop_tables(few)
+        return sets
+
     hubs = tiles.groupBy("token", "band").agg(F.min("rep").alias("hub"))
     stars = tiles.join(hubs, ["token", "band"]).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     steps = hubs.join(hubs.select("token", (F.col("band") - 1).alias("band"), F.col("hub").alias("b")), ["token", "band"]).select(F.col("hub").alias("a"), "b")
     pairs = stars.unionAll(steps).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    likely = write_table(unrefuted(pairs, sets, percent), "pairs", PAIR_ROWS)
+    likely = write_table(unrefuted(pairs, signed, percent), "pairs", PAIR_ROWS)
+    sets = sets_of(likely.select("a").unionAll(likely.select("b")))
     links = write_table(linked(likely, sets, percent), "links", PAIR_ROWS)
     several = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc_id", "a")
     own = of.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     links = links.unionAll(own)
     comps = connected_components(links)
-    more = tile_links(tiles, comps, sets, percent)
+    more = tile_links(tiles, comps, signed, percent, sets_of)
     if not more.isEmpty():
         comps = connected_components(links.unionAll(more))
-    drop_tables(tiles, ids, sets, likely)
+    drop_tables(tiles, ids, signed, sets, likely)
     final = classes.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("of_class"))
     out = rows.join(final, "set_key", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("of_class")).otherwise(F.col("doc_id"))
