@@ -63,6 +63,46 @@ NODES = """n AS (SELECT step, cand, CAST((cand*36+step*2+q%7)%360 AS DOUBLE) AS
       SELECT CAST(year(l_shipdate)*12+month(l_shipdate) AS INTEGER) AS step, CAST(l_suppkey%10 AS INTEGER) AS cand, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1,2))"""
 
 
+def scale(spark: SparkSession, sf_dir: str) -> int:
+    """How many times finer than 24 x 12 the growing grid is: cells grow with the line items."""
+    return max(1, int((table(spark, sf_dir, "lineitem").count() / 60000) ** 0.5))
+
+
+def fine_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = scale(spark, sf_dir)
+    return g.lat_lon_grid(spark, N_LAT * k, N_LON * k)
+
+
+def fine_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(step, cell, x): quantities by month on the growing grid."""
+    k = scale(spark, sf_dir)
+    step = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int")
+    cell = (F.col("l_suppkey") * 31 + F.col("l_partkey")) % (N_LAT * k) * (N_LON * k) + (F.col("l_partkey") * 7 + F.col("l_linenumber") * 5) % (N_LON * k)
+    return table(spark, sf_dir, "lineitem").groupBy(step.alias("step"), cell.cast("int").alias("cell")).agg(F.sum("l_quantity").alias("x"))
+
+
+def fine_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(step, cand, lon, lat, p): nodes by month, as many as the grid is fine."""
+    k = scale(spark, sf_dir)
+    step = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int")
+    cand = (F.col("l_suppkey") % (10 * k * k)).cast("int")
+    sums = table(spark, sf_dir, "lineitem").groupBy(step.alias("step"), cand.alias("cand")).agg(F.sum("l_quantity").cast("long").alias("q"))
+    lon, lat = (F.col("cand") * 37 + F.col("step") * 2 + F.col("q") % 7) % 360 + 0.25, (F.col("cand") * 13 + F.col("q") % 5) % 150 - 75 + 0.125
+    return sums.select("step", "cand", lon.cast("double").alias("lon"), lat.cast("double").alias("lat"), F.col("q").cast("double").alias("p"))
+
+
+FINE = """kk AS (SELECT greatest(1, CAST(floor(sqrt(count(*)/60000.0)) AS INTEGER)) AS k FROM lineitem),
+g AS (SELECT CAST(j*24*k+i AS INTEGER) AS cell, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, i*(15.0/k) AS lon, -90.0+(j+0.5)*(15.0/k) AS lat,
+      (sin(radians(-90.0+(j+1)*(15.0/k))) - sin(radians(-90.0+j*(15.0/k))))*radians(15.0/k) AS area
+      FROM kk, unnest(range(24*kk.k)) a(i), unnest(range(12*kk.k)) b(j)),
+edge AS (SELECT a.cell, b.cell AS nbr FROM g a JOIN g b ON a.j=b.j AND (b.i=(a.i+1)%(24*(SELECT k FROM kk)) OR a.i=(b.i+1)%(24*(SELECT k FROM kk)))
+      UNION ALL SELECT a.cell, b.cell FROM g a JOIN g b ON a.i=b.i AND abs(a.j-b.j)=1),
+sf AS (SELECT CAST(year(l_shipdate)*12+month(l_shipdate) AS INTEGER) AS step, CAST((l_suppkey*31+l_partkey)%(12*k)*(24*k) + (l_partkey*7+l_linenumber*5)%(24*k) AS INTEGER) AS cell,
+      sum(l_quantity) AS x FROM lineitem, kk GROUP BY 1,2),
+n AS (SELECT step, cand, CAST((cand*37+step*2+q%7)%360 AS DOUBLE)+0.25 AS lon, CAST((cand*13+q%5)%150-75 AS DOUBLE)+0.125 AS lat, CAST(q AS DOUBLE) AS p FROM (
+      SELECT CAST(year(l_shipdate)*12+month(l_shipdate) AS INTEGER) AS step, CAST(l_suppkey%(10*k*k) AS INTEGER) AS cand, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem, kk GROUP BY 1,2))"""
+
+
 def gcd(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     """SQL of the great-circle distance in degrees."""
     return f"degrees(acos(greatest(-1.0, least(1.0, sin(radians({lat1}))*sin(radians({lat2})) + cos(radians({lat1}))*cos(radians({lat2}))*cos(radians(({lon2})-({lon1})))))))"
