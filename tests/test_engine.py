@@ -211,6 +211,23 @@ def test_permutation_test(spark):
     want = np.corrcoef([r[2] * w[r[1]] for r in rows], [r[3] * w[r[1]] for r in rows])[0, 1]
     assert near.correlation == pytest.approx(want) and near.p == 0 and far.p > 0.02
     assert metrics.permutation_test(f.where("false"), "x", "y", g, 10).first().p is None
+    rmse = [metrics.permutation_test_rmse(f.withColumnRenamed("z", "w"), "x", c, g, 500, 1).first() for c in "yw"]
+    want = [np.sqrt(np.mean([(w[r[1]] * (r[2] - r[k])) ** 2 for r in rows])) for k in (3, 4)]
+    assert [r.rmse for r in rmse] == pytest.approx(want) and rmse[0].p == 0 and rmse[1].p > 0.02
+    assert metrics.permutation_test_rmse(f.where("false"), "x", "y", g, 10).first().p is None
+
+
+def test_replicates_sample_all_rows_alike(spark):
+    """Each replicate has PERMUTED distinct rows, and no row is drawn more often than chance has it."""
+    n, k = 20_000, 300
+    rows = spark.range(n).selectExpr("xxhash64(id, 5) AS h", "CAST(id AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS y")
+    drawn = metrics.replicate_samples(rows, n, k).toPandas().sort_values(["replicate", "rank"]).groupby("replicate").head(metrics.PERMUTED)
+    assert drawn.groupby("replicate").size().tolist() == [metrics.PERMUTED] * k
+    assert not drawn.duplicated(["replicate", "x"]).any()
+    often = np.bincount(drawn["x"].astype(int), minlength=n)
+    expected = k * metrics.PERMUTED / n
+    assert abs(often.mean() - expected) < 1e-9 and 0.9 < often.var() / expected < 1.1
+    assert abs(np.corrcoef(np.arange(n), often)[0, 1]) < 0.03
 
 
 def test_distance_join_equals_all_pairs(spark):

@@ -65,38 +65,103 @@ def pattern_correlation(field: DataFrame, x: str, y: str, grid: DataFrame) -> Da
     return s.select("time", F.try_divide(c("x", "y", "xy"), F.sqrt(c("x", "x", "xx") * c("y", "y", "yy"))).alias("centred"), F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("uncentred"))
 
 
-#: Rows of a permutation's sample, and of the pool that samples are drawn from.
-PERMUTED, POOL = 1_000, 100_000
+#: Rows of a replicate's sample.
+PERMUTED = 1_000
+#: Rows of samples that one task permutes, about.
+SAMPLED_ROWS = 500_000
 
 
-def permutation_test(field: DataFrame, x: str, y: str, grid: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """(correlation, p): of the correlation of two columns, weighted by the cosine of latitude; p
-    is the share of ``replicates`` in which a permutation of y has one as large.
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit finaliser of hashes."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def replicate_samples(rows: DataFrame, n: int, replicates: int) -> DataFrame:
+    """(replicate, rank, x, y): for each replicate PERMUTED of all ``rows`` (h, x, y) and some to
+    spare, of which those with the smallest ranks are the sample; all n if there are no more.
 
-    The correlation is over all rows. A replicate permutes a random sample of PERMUTED rows (all
-    if there are fewer), which tasks draw from the POOL rows with the smallest hashes.
+    A row falls on replicates like the arrivals of a Poisson process that its hash drives, so
+    only what is drawn is ever made: replicates times PERMUTED rows, however many there are.
     """
-    spark = field.sparkSession
-    w = grid.select("cell", F.cos(F.radians("lat")).alias("w"))
-    known = field.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(F.broadcast(w), "cell")
-    rows = known.select((F.col(x) * F.col("w")).alias("x"), (F.col(y) * F.col("w")).alias("y"), F.xxhash64("time", "cell", F.lit(seed)).alias("h"))
-    r = rows.agg(F.corr("x", "y")).first()[0]
-    if r is None or r != r:
-        return spark.createDataFrame([(None, None)], "correlation double, p double")
-    pool = spark.sparkContext.broadcast(rows.orderBy("h", "x", "y").limit(POOL).select("x", "y").toPandas().to_numpy())
+    share = (PERMUTED + 10 * PERMUTED**0.5) / n
+    every = share >= 1 or n <= PERMUTED
+    rate = None if every else -np.log1p(-share)
+    most = replicates if every else int(replicates * rate + 12 * (replicates * rate) ** 0.5 + 30)
 
-    def permute(batches):
+    def draw(batches):
         for batch in batches:
-            made = []
-            for k in batch["id"]:
-                rng = np.random.default_rng([seed, k])
-                drawn = pool.value[rng.permutation(len(pool.value))[:PERMUTED]]
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    made.append(np.corrcoef(drawn[:, 0], rng.permutation(drawn[:, 1]))[0, 1])
-            yield pd.DataFrame({"r": made})
-
-    found = spark.range(replicates).mapInPandas(permute, "r double")
-    return found.agg(F.lit(r).alias("correlation"), F.avg((F.abs("r") >= abs(r)).cast("double")).alias("p"))
+            step = max(1, 2_000_000 // most)
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                h = part["h"].to_numpy().view(np.uint64)
+                made = _mixed(h[:, None] + np.arange(1, most + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                if every:
+                    row, number = np.repeat(np.arange(len(h)), replicates), np.tile(np.arange(replicates), len(h))
+                else:
+                    gap = -np.log((made >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) / rate
+                    place = np.floor(np.cumsum(gap, axis=1)).astype(np.int64)
+                    fresh = np.diff(place, axis=1, prepend=-1) > 0
+                    row, column = np.nonzero(fresh & (place < replicates))
+                    number = place[row, column]
+                rank = _mixed(h[row] ^ _mixed(number.astype(np.uint64) + np.uint64(77)))
+                yield pd.DataFrame({"replicate": number, "rank": rank.view(np.int64), "x": part["x"].to_numpy()[row], "y": part["y"].to_numpy()[row]})
+
+    return rows.mapInPandas(draw, "replicate long, rank long, x double, y double")
+
+
+def permutations(field: DataFrame, x: str, y: str, grid: DataFrame, replicates: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The weighted rows (x, y) of a field's two columns, and for each replicate (replicate, r,
+    permuted_r, rmse, permuted_rmse) of a random sample before and after y is permuted.
+
+    Values are weighted by the cosine of latitude. A replicate draws PERMUTED of all rows without
+    replacement (all if there are fewer); see :func:`replicate_samples`.
+    """
+    w = grid.select("cell", F.cos(F.radians("lat")).alias("_w"))
+    known = field.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("time", "cell", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = known.join(F.broadcast(w), "cell").select((F.col("_x") * F.col("_w")).alias("x"), (F.col("_y") * F.col("_w")).alias("y"), F.xxhash64("time", "cell", F.lit(seed)).alias("h"))
+    n = rows.count()
+    groups = max(1, -(-replicates * min(n, PERMUTED) // SAMPLED_ROWS))
+    drawn = replicate_samples(rows.select("h", "x", "y"), max(n, 1), replicates)
+
+    def permute(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["replicate", "rank"])
+        number, at = np.unique(pdf["replicate"].to_numpy(), return_index=True)
+        out = []
+        for k, a, b in zip(number, at, np.append(at[1:], len(pdf))):
+            u, v = (pdf[c].to_numpy()[a : min(b, a + PERMUTED)] for c in "xy")
+            other = np.random.default_rng([seed & 0xFFFFFFFF, k]).permutation(v)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                r = [np.corrcoef(u, z)[0, 1] if len(u) > 1 else np.nan for z in (v, other)]
+            out.append((k, *r, *(np.sqrt(((u - z) ** 2).mean()) for z in (v, other))))
+        return pd.DataFrame(out, columns=["replicate", "r", "permuted_r", "rmse", "permuted_rmse"])
+
+    dealt = drawn.groupBy(F.pmod("replicate", F.lit(groups)))
+    return rows, dealt.applyInPandas(permute, "replicate long, r double, permuted_r double, rmse double, permuted_rmse double")
+
+
+def permutation_test(field: DataFrame, x: str, y: str, grid: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """(correlation, p): of the correlation of two columns over all rows; p is the share of
+    ``replicates`` in which a permutation of y has one as large. Nulls without variance."""
+    rows, made = permutations(field, x, y, grid, replicates, seed)
+    r = rows.agg(F.corr("x", "y")).first()[0]
+    if r is None or r != r:
+        return field.sparkSession.createDataFrame([(None, None)], "correlation double, p double")
+    return made.agg(F.lit(r).alias("correlation"), F.avg((F.abs("permuted_r") >= abs(r)).cast("double")).alias("p"))
+
+
+def permutation_test_rmse(field: DataFrame, x: str, y: str, grid: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """(rmse, p, low, median, high): the root mean square difference of two columns over all rows;
+    p is the share of ``replicates`` whose permuted difference is as far out, in the tail on its
+    side of the median. low, median and high are the samples' least, middle and greatest."""
+    rows, made = permutations(field, x, y, grid, replicates, seed)
+    observed = rows.agg(F.sqrt(F.avg(F.pow(F.col("x") - F.col("y"), 2)))).first()[0]
+    if observed is None:
+        return field.sparkSession.createDataFrame([(None,) * 5], "rmse double, p double, low double, median double, high double")
+    own = F.lit(observed)
+    middle = made.agg(F.median("permuted_rmse").alias("m"), F.avg((F.col("permuted_rmse") >= own).cast("double")).alias("up"), F.avg((F.col("permuted_rmse") <= own).cast("double")).alias("down"), F.min("rmse").alias("low"), F.median("rmse").alias("median"), F.max("rmse").alias("high"))
+    return middle.select(own.alias("rmse"), F.when(own >= F.col("m"), F.col("up")).otherwise(F.col("down")).alias("p"), "low", "median", "high")
 
 
 def block_intensity(cells: DataFrame, value: str, keys: list[str]) -> DataFrame:

@@ -73,6 +73,24 @@ def permutation_test(spark, sf_dir):
     return m.permutation_test(x.field(spark, sf_dir), "v", "w", x.the_grid(spark), 10_000, 1)
 
 
+@query()
+def permutation_test_rmse(spark, sf_dir):
+    return m.permutation_test_rmse(x.field(spark, sf_dir), "v", "w", x.the_grid(spark), 10_000, 1)
+
+
+_WEIGHTED = _with(x.GRID, x.FIELD) + ", r AS (SELECT v*cos(radians(lat)) AS x, w*cos(radians(lat)) AS y FROM f JOIN g USING (cell)) "
+
+
+@query(_WEIGHTED + "SELECT count(*) AS replicates, round(corr, 6) AS correlation, round(rmse, 6) AS rmse, TRUE AS near_rmse FROM range(200), (SELECT corr(x, y) AS corr, sqrt(avg(pow(x-y, 2))) AS rmse FROM r) GROUP BY ALL")
+def permutation_samples(spark, sf_dir):
+    """What is the same for every draw: the observed figures, the number of replicates, and that
+    the samples' mean difference is within a tenth of that of all rows."""
+    rows, made = m.permutations(x.field(spark, sf_dir), "v", "w", x.the_grid(spark), 200, 1)
+    seen = rows.agg(F.corr("x", "y").alias("correlation"), F.sqrt(F.avg(F.pow(F.col("x") - F.col("y"), 2))).alias("rmse")).first()
+    near = (F.abs(F.avg("rmse") - seen.rmse) < seen.rmse / 10).alias("near_rmse")
+    return rounded(made.agg(F.count("*").alias("replicates"), F.lit(seen.correlation).alias("correlation"), F.lit(seen.rmse).alias("rmse"), near), 6, "correlation", "rmse")
+
+
 @query(_with(x.FIELD) + """, r AS (SELECT time, v, row_number() OVER (PARTITION BY time ORDER BY v) AS up, count(*) OVER (PARTITION BY time) AS n FROM f WHERE v <> 0),
  s AS (SELECT time, avg(CASE WHEN up > n-greatest(floor(n/10),1) THEN v END) AS hi, avg(CASE WHEN up <= greatest(floor(n/10),1) THEN v END) AS lo FROM r GROUP BY 1) SELECT time, round(100*(hi/((hi+lo)/2)-1), 6) AS index FROM s""")
 def block_intensity(spark, sf_dir):
