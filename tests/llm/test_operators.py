@@ -558,6 +558,21 @@ def test_near_passages_are_found(spark):
     assert sum((3 * i, 3 * i + 1) in pairs for i in range(200)) >= 190 and pairs <= {(3 * i, 3 * i + 1) for i in range(200)}
 
 
+@pytest.mark.parametrize("parts", [((0, 40), (20, 60)), ((0, 45), (15, 60)), ((0, 48), (5, 49), (12, 60), (10, 55))])
+def test_near_passages_are_found_beside_texts_that_hold_parts(spark, parts):
+    rng, rows = random.Random(22), []
+    for i in range(60):
+        quote = _words(rng, 60)
+        copy = quote[:30] + _words(rng, 1) + quote[31:]
+        texts = [_words(rng, 70) + quote + _words(rng, 40), _words(rng, 30) + copy + _words(rng, 90)]
+        texts += [_words(rng, 50) + quote[a:b] + _words(rng, 50) for a, b in parts]
+        rows += [(10 * i + n, " ".join(t)) for n, t in enumerate(texts)]
+    got = repeated_passages(documents(spark, rows)).collect()
+    pairs = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in got}
+    assert sum((10 * i, 10 * i + 1) in pairs for i in range(60)) >= 57
+    assert all(a // 10 == b // 10 for a, b in pairs)
+
+
 def test_progressions_align_like_all_pairs():
     from tidemark.llm.substring import _aligned, _progressions
 
