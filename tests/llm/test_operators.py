@@ -277,6 +277,32 @@ def test_toxicity_held_out_and_edges(spark):
     assert score_toxicity(documents(spark, []), labels).count() == 0
 
 
+def test_toxicity_is_found_in_each_language(spark):
+    """On rows whose labels were never read: recall over all and by language, and precision."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = score_toxicity(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("toxic IS NOT NULL").toPandas()
+    hit, toxic = (got.predicted == 1) & (got.toxic == 1), got.toxic == 1
+    assert hit.sum() >= 0.9 * toxic.sum() and hit.sum() >= 0.9 * (got.predicted == 1).sum()
+    assert (hit.groupby(got.lang).sum() >= 0.8 * toxic.groupby(got.lang).sum()).all()
+
+
+def test_label_model_recovers_rates_and_a_pair_of_voters_that_copy_each_other():
+    from tidemark.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    y = rng.random(60_000) < 0.2
+    x = rng.random((len(y), toxicity.VOTERS)) < np.where(y[:, None], 0.6, 0.1)
+    x[:, 3] = np.where(rng.random(len(y)) < 0.95, x[:, 8], x[:, 3])
+    masks, counts = np.unique((x.astype(np.int64) << np.arange(toxicity.VOTERS)).sum(1), return_counts=True)
+    known = np.full(len(masks), np.nan)
+    first = np.unique((x[:3000].astype(np.int64) << np.arange(toxicity.VOTERS)).sum(1) * 2 + y[:3000], return_counts=True)
+    masks, counts, known = np.append(masks, first[0] // 2), np.append(counts, first[1]).astype(float), np.append(known, first[0] % 2)
+    model = toxicity.fit_label_model(masks, counts, known)
+    assert abs(model.prior - 0.2) < 0.02 and (model.parent[3] == 8 or model.parent[8] == 3)
+    own = model.posterior((x.astype(np.int64) << np.arange(toxicity.VOTERS)).sum(1))
+    assert ((own > 0.5) == y).mean() > 0.99
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     flipped = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
