@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import geo
 from ..functions.geo import EARTH_RADIUS, KNOTS
 from .grid import within
+from .shapes import points_in_shapes
 
 
 def node_cells(nodes: DataFrame, field: DataFrame, grid: DataFrame, radius: float) -> DataFrame:
@@ -117,7 +118,7 @@ def composite(nodes: DataFrame, field: DataFrame, grid: DataFrame, step_deg: flo
     """
     points = sample_points(nodes, step_deg, half, flip_south)
     near = within(points, grid.select("cell", F.col("lon"), F.col("lat")), reach)
-    w = Window.partitionBy("step", "cand", "ix", "iy").orderBy("dist", "cell")
+    w = Window.partitionBy("step", "cand", "ix", "iy").orderBy(F.round("dist", 9), "cell")
     one = near.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("step", "cand", "ix", "iy", "cell")
     return one.join(field, ["step", "cell"]).groupBy("ix", "iy").agg(F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("count"))
 
@@ -138,9 +139,13 @@ def value_histogram(values: DataFrame, value: str, offset: float, width: float)
 
 def region_of(points: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
     """``points`` with the name of the first region (number, name, corners) that holds them, or
-    null. Regions are few: their number is checked before they go to all tasks."""
-    small = regions if regions.count() > 10_000 else F.broadcast(regions)
-    hit = points.join(small, geo.in_polygon("lon", "lat", "corners")).groupBy(*key).agg(F.min_by("name", "number").alias("region"))
+    null. Regions are counted: few go to all tasks, more meet the points by tile
+    (:func:`.shapes.points_in_shapes`)."""
+    if regions.count() > 10_000:
+        held = points_in_shapes(points.select(*key, "lon", "lat"), regions.select(F.col("number").alias("shape"), "corners"), key)
+        first = held.groupBy(*key).agg(F.min("shape").alias("number"))
+        return points.join(first.join(regions.select("number", F.col("name").alias("region")), "number").drop("number"), key, "left")
+    hit = points.join(F.broadcast(regions), geo.in_polygon("lon", "lat", "corners")).groupBy(*key).agg(F.min_by("name", "number").alias("region"))
     return points.join(hit, key, "left")
 
 
@@ -165,6 +170,6 @@ def lon_lat_points(nodes: DataFrame, step_deg: float, half: int) -> DataFrame:
 def snapshots(points: DataFrame, field: DataFrame, grid: DataFrame, reach: float) -> DataFrame:
     """(step, cand, ix, iy, x): the field at the nearest cell within ``reach`` of each point."""
     near = within(points, grid.select("cell", "lon", "lat"), reach)
-    w = Window.partitionBy("step", "cand", "ix", "iy").orderBy("dist", "cell")
+    w = Window.partitionBy("step", "cand", "ix", "iy").orderBy(F.round("dist", 9), "cell")
     one = near.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("step", "cand", "ix", "iy", "cell")
     return one.join(field, ["step", "cell"]).select("step", "cand", "ix", "iy", "x")

@@ -75,10 +75,10 @@ def geo_filter(spark, sf_dir):
 
 
 @query(ALL + ", " + BOX + f""" SELECT time, blob, minlat, maxlat, minlon, maxlon, (minlat+maxlat)/2 AS meanlat, (minlon+{WIDTH}/2) % 360 AS meanlon,
-  round(degrees(asin(sz/sqrt(sx*sx+sy*sy+sz*sz))), 5) AS centlat, round(sr*{EARTH_RADIUS}*{EARTH_RADIUS}/1e9, 5) AS area FROM box""")
+  round((degrees(atan2(sy, sx))+360) % 360, 4) AS centlon, round(degrees(asin(sz/sqrt(sx*sx+sy*sy+sz*sz))), 5) AS centlat, round(sr*{EARTH_RADIUS}*{EARTH_RADIUS}/1e9, 5) AS area FROM box""")
 def blob_statistics(spark, sf_dir):
     s = b.statistics(found(spark, sf_dir), x.the_grid(spark), ["time", "blob"])
-    return s.select("time", "blob", "minlat", "maxlat", "minlon", "maxlon", "meanlat", "meanlon", F.round("centlat", 5).alias("centlat"), F.round(F.col("area") / 1e9, 5).alias("area"))
+    return s.select("time", "blob", "minlat", "maxlat", "minlon", "maxlon", "meanlat", "meanlon", F.round("centlon", 4).alias("centlon"), F.round("centlat", 5).alias("centlat"), F.round(F.col("area") / 1e9, 5).alias("area"))
 
 
 @query(ALL + f""", q AS (SELECT time, blob, v*area AS m, radians(lon) AS x, radians(lat) AS y FROM c JOIN g USING (cell) JOIN f USING (time, cell)),
@@ -86,14 +86,15 @@ def blob_statistics(spark, sf_dir):
  ce AS (SELECT *, atan2(b2, a) AS x0, asin(z/sqrt(a*a+b2*b2+z*z)) AS y0 FROM ct),
  pl AS (SELECT time, blob, q.m, 2*cos(y)*sin(x-x0)/(1+sin(y0)*sin(y)+cos(y0)*cos(y)*cos(x-x0)) AS px, 2*(cos(y0)*sin(y)-sin(y0)*cos(y)*cos(x-x0))/(1+sin(y0)*sin(y)+cos(y0)*cos(y)*cos(x-x0)) AS py FROM q JOIN ce USING (time, blob)),
  cv AS (SELECT time, blob, sum(m*px*px)/sum(m) AS xx, sum(m*py*py)/sum(m) AS yy, sum(m*px*py)/sum(m) AS xy, count(*) AS k FROM pl GROUP BY 1,2)
- SELECT time, blob, round(wt, 5) AS wtarea, round(degrees(2*atan(sqrt((xx+yy)/2+sqrt(((xx-yy)/2)*((xx-yy)/2)+xy*xy)))), 5) AS length FROM cv JOIN (SELECT time, blob, m*{EARTH_RADIUS}*{EARTH_RADIUS}/1e12 AS wt FROM ct) USING (time, blob) WHERE k >= 3""")
+ SELECT time, blob, round(wt, 5) AS wtarea, round(degrees(2*atan(sqrt((xx+yy)/2+sqrt(((xx-yy)/2)*((xx-yy)/2)+xy*xy)))), 5) AS length,
+  round(degrees(2*atan(sqrt(greatest(0.0, (xx+yy)/2-sqrt(((xx-yy)/2)*((xx-yy)/2)+xy*xy))))), 3) AS width, round(wlon, 4) AS wtcentlon, round(degrees(y0), 5) AS wtcentlat FROM cv JOIN (SELECT time, blob, m*{EARTH_RADIUS}*{EARTH_RADIUS}/1e12 AS wt, y0, (degrees(x0)+360) % 360 AS wlon FROM ce) USING (time, blob) WHERE k >= 3""")
 def blob_axes(spark, sf_dir):
     weighted = found(spark, sf_dir).join(x.field(spark, sf_dir).select("time", "cell", "v"), ["time", "cell"])
     big = weighted.groupBy("time", "blob").count().where("count >= 3").select("time", "blob")
     rows = weighted.join(big, ["time", "blob"], "left_semi")
     axes = b.principal_axes(rows, x.the_grid(spark), ["time", "blob"], "v")
     sums = b.statistics(rows, x.the_grid(spark), ["time", "blob"], "v")
-    return axes.join(sums, ["time", "blob"]).select("time", "blob", F.round(F.col("wtarea") / 1e12, 5).alias("wtarea"), F.round("length", 5).alias("length"))
+    return axes.join(sums, ["time", "blob"]).select("time", "blob", F.round(F.col("wtarea") / 1e12, 5).alias("wtarea"), F.round("length", 5).alias("length"), F.round("width", 3).alias("width"), F.round("wtcentlon", 4).alias("wtcentlon"), F.round("wtcentlat", 5).alias("wtcentlat"))
 
 
 LINKS = STEPS + """, z AS (SELECT t.step, c.cell, c.blob, g.area FROM c JOIN t USING (time) JOIN g USING (cell)), size AS (SELECT step, blob, sum(area) AS size FROM z GROUP BY 1,2),

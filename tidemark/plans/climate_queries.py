@@ -174,10 +174,16 @@ def gradient_index(spark, sf_dir):
     return rounded(k.gradient_index(_heights(spark, sf_dir), "z", 15.0, -1.0), 6, "south", "north")
 
 
-@query()
+_TURNS = """vw AS (SELECT time, lon, lat, coalesce(lead(w) OVER a, first_value(w) OVER aw)-coalesce(lag(w) OVER a, last_value(w) OVER aw) AS dw,
+ lead(v*cos(radians(lat))) OVER b-lag(v*cos(radians(lat))) OVER b AS df, lead(lat) OVER b-lag(lat) OVER b AS dy FROM f JOIN g USING (cell) WINDOW a AS (PARTITION BY time, lat ORDER BY lon),
+ aw AS (PARTITION BY time, lat ORDER BY lon ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), b AS (PARTITION BY time, lon ORDER BY lat))"""
+
+
+@query(_with(x.GRID, x.FIELD, _TURNS) + "SELECT time, lon, lat, round(1e6*(dw/(radians(30.0)*6371000*cos(radians(lat)))-df/(radians(dy)*6371000*cos(radians(lat)))), 6) AS vorticity FROM vw WHERE df IS NOT NULL")
 def vorticity(spark, sf_dir):
     f = x.field(spark, sf_dir).join(F.broadcast(x.the_grid(spark).select("cell", "lon", "lat")), "cell")
-    return k.relative_vorticity(f, "v", "w", ["time"], 15.0)
+    made = k.relative_vorticity(f, "v", "w", ["time"], 15.0)
+    return made.withColumn("vorticity", F.round(1e6 * F.col("vorticity"), 6))
 
 
 _DOY = _IDX["daily"]

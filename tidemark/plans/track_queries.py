@@ -156,10 +156,18 @@ def profile_where(spark, sf_dir):
     return made.select("step", "cand", p.first_where("profile", "fallsbelow", 40.0, 10.0, 10.0).alias("first"), p.last_where("profile", ">=", 40.0, 10.0).alias("last"))
 
 
-@query()
+_PLANE = """pp AS (SELECT step, cand, dist, u, vv, lat, 2*cos(radians(lat2))*sin(radians(lon2-lon))/(1+sin(radians(lat))*sin(radians(lat2))+cos(radians(lat))*cos(radians(lat2))*cos(radians(lon2-lon))) AS px,
+  2*(cos(radians(lat))*sin(radians(lat2))-sin(radians(lat))*cos(radians(lat2))*cos(radians(lon2-lon)))/(1+sin(radians(lat))*sin(radians(lat2))+cos(radians(lat))*cos(radians(lat2))*cos(radians(lon2-lon))) AS py FROM ce),
+wn AS (SELECT step, cand, floor(dist/10) AS b, CASE WHEN px>=0 AND py>=0 THEN 0 WHEN px>=0 THEN 1 WHEN py<0 THEN 2 ELSE 3 END AS quadrant, (CASE WHEN lat<0 THEN -1 ELSE 1 END)*(vv*px-u*py)/nullif(sqrt(px*px+py*py), 0) AS wind FROM pp),
+mw AS (SELECT step, cand, quadrant, b, avg(wind) AS m FROM (SELECT step, cand, quadrant, wind, b+d AS b FROM wn, (VALUES (0),(1)) AS t(d)) WHERE b BETWEEN 1 AND 3 GROUP BY 1,2,3,4)"""
+_BINS = ", ".join(f"round(coalesce(max(m) FILTER (WHERE b={k}), 0), 6)" for k in (1, 2, 3))
+
+
+@query(NEAR.rstrip() + f", {_PLANE} SELECT step, cand, CAST(quadrant AS INTEGER) AS quadrant, [0.0, {_BINS}] AS profile FROM mw GROUP BY 1, 2, 3")
 def quadrant_wind_profile(spark, sf_dir):
     cells = near_cells(spark, sf_dir).withColumn("wind", p.azimuthal_wind("u", "vv"))
-    return p.quadrant_profile(cells, "wind", 4, 10.0)
+    made = p.quadrant_profile(cells, "wind", 4, 10.0)
+    return made.withColumn("profile", F.transform("profile", lambda v: F.round(v, 6)))
 
 
 @query(NEAR + f"SELECT sf.step, sf.cell, CASE WHEN EXISTS (SELECT 1 FROM n JOIN g ON g.cell=sf.cell WHERE n.step=sf.step AND {x.gcd('n.lon', 'n.lat', 'g.lon', 'g.lat')} <= 20) THEN x ELSE -1.0 END AS x FROM sf")
@@ -167,9 +175,32 @@ def mask_by_distance(spark, sf_dir):
     return p.mask_near(step_field(spark, sf_dir), x.candidates(spark, sf_dir), x.the_grid(spark), 20.0, fill=-1.0)
 
 
-@query()
+def _inverse(px: str, py: str) -> str:
+    """SQL of the point (lon, lat) whose stereographic plane coordinates about (lon0, lat0) these are."""
+    rho = f"sqrt(({px})*({px})+({py})*({py}))"
+    arc = f"2*atan({rho}/2)"
+    lat = f"CASE WHEN {rho}=0 THEN lat0 ELSE degrees(asin(greatest(-1.0, least(1.0, cos({arc})*sin(radians(lat0))+({py})*sin({arc})*cos(radians(lat0))/{rho})))) END"
+    lon = f"CASE WHEN {rho}=0 THEN lon0 ELSE lon0+degrees(atan2(({px})*sin({arc}), {rho}*cos(radians(lat0))*cos({arc})-({py})*sin(radians(lat0))*sin({arc}))) END"
+    return f"{lon} AS lon, {lat} AS lat"
+
+
+def _sampled(points: str) -> str:
+    """SQL: CTEs of points (step, cand, ix, iy, lon, lat) and the field at their nearest cells."""
+    d = x.gcd("pt.lon", "pt.lat", "g.lon", "g.lat")
+    return _with(x.GRID, x.FIELD, x.NODES, _STEPFIELD) + f""", pt AS ({points}),
+ sm AS (SELECT step, cand, ix, iy, cell FROM (SELECT step, cand, ix, iy, cell, row_number() OVER (PARTITION BY step, cand, ix, iy ORDER BY round(dist, 9), cell) AS k
+  FROM (SELECT step, cand, ix, iy, g.cell, {d} AS dist FROM pt, g) WHERE dist <= 22) WHERE k = 1) """
+
+
+_AXES = "(VALUES (-2),(-1),(0),(1),(2)) AS a(ix), (VALUES (-2),(-1),(0),(1),(2)) AS b(iy)"
+_FLAT = lambda k: f"2*tan(radians(({k})*10.0)/2)"
+_SQUARE = f"SELECT step, cand, ix, iy, {_inverse(_FLAT('ix'), _FLAT('CASE WHEN lat0<0 THEN -iy ELSE iy END'))} FROM (SELECT step, cand, lon AS lon0, lat AS lat0, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy FROM n, {_AXES})"
+
+
+@query(_sampled(_SQUARE) + "SELECT ix, iy, round(avg(x), 6) AS mean, min(x) AS min, max(x) AS max, count(x) AS count FROM sm JOIN sf USING (step, cell) GROUP BY 1, 2")
 def composite(spark, sf_dir):
-    return p.composite(x.candidates(spark, sf_dir), step_field(spark, sf_dir), x.the_grid(spark), 10.0, 2, 22.0, flip_south=True)
+    made = p.composite(x.candidates(spark, sf_dir), step_field(spark, sf_dir), x.the_grid(spark), 10.0, 2, 22.0, flip_south=True)
+    return rounded(made, 6, "mean")
 
 
 @query(NEAR + "SELECT CAST(floor((x-5)/20) AS INTEGER) AS bin, count(*) AS count FROM ce GROUP BY 1")
@@ -196,16 +227,24 @@ def nearest_cell(spark, sf_dir):
     return near.withColumn("k", F.row_number().over(w)).where("k = 1").select("step", "cand", "cell", F.round("dist", 6).alias("dist"))
 
 
-@query()
+_RAYS = f"""SELECT step, cand, ix, iy, {_inverse(_FLAT('ix+0.5') + '*sin(radians(iy*45.0))', _FLAT('ix+0.5') + '*cos(radians(iy*45.0))')}
+ FROM (SELECT step, cand, lon AS lon0, lat AS lat0, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy FROM n, range(3) AS a(ix), range(8) AS b(iy))"""
+
+
+@query(_sampled(_RAYS) + "SELECT sm.step, sm.cand, ix, iy, x FROM sm JOIN sf USING (step, cell)")
 def composite_radial(spark, sf_dir):
     points = p.radial_points(x.candidates(spark, sf_dir), 10.0, 3, 8)
     return p.snapshots(points, step_field(spark, sf_dir), x.the_grid(spark), 22.0)
 
 
-@query()
+_EVEN = f"SELECT * FROM (SELECT step, cand, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, lon+ix*10.0 AS lon, lat+iy*10.0 AS lat FROM n, {_AXES}) WHERE abs(lat) <= 90"
+
+
+@query(_sampled(_EVEN) + "SELECT ix, iy, round(avg(x), 6) AS mean, count(x) AS count FROM sm JOIN sf USING (step, cell) GROUP BY 1, 2")
 def composite_lon_lat(spark, sf_dir):
     points = p.lon_lat_points(x.candidates(spark, sf_dir), 10.0, 2)
-    return p.snapshots(points, step_field(spark, sf_dir), x.the_grid(spark), 22.0).groupBy("ix", "iy").agg(F.avg("x").alias("mean"), F.count("x").alias("count"))
+    made = p.snapshots(points, step_field(spark, sf_dir), x.the_grid(spark), 22.0).groupBy("ix", "iy")
+    return rounded(made.agg(F.avg("x").alias("mean"), F.count("x").alias("count")), 6, "mean")
 
 
 @query()
