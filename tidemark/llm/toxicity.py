@@ -20,6 +20,8 @@ LABEL_TRUST = 0.95
 MOST_TERMS, MOST_FEATURES = 20_000, 20_000
 #: Candidate terms up to this many go to all executors; more of them are joined by shuffle.
 BROADCAST_TERMS = 500_000
+#: Labelled ids up to this many go to all executors to meet their texts; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature is a term that a row has so many times at least; the last one, if that is also once
@@ -335,9 +337,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear |
     """
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = docs.join(known, "doc_id").select("doc_id", "toxic", "text")
-    counted = {r.toxic: r.n for r in labelled.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    known = write_table(known, "known")
+    ids = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
+    labelled = docs.join(ids, "doc_id").select("doc_id", "toxic", "text")
+    counted = {r.toxic: r.n for r in docs.select("doc_id").join(ids, "doc_id").groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(counted) < 2:
+        drop_tables(known)
         return None
     terms = mined(toxic_terms(labelled, counted[1], counted[0]).toPandas())
     shared = spark.sparkContext.broadcast(terms)
@@ -346,7 +351,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear |
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes(batch.column(1), shared.value))], ["toxic", "mask"])
 
-    free = docs.where(~held_out(F.col("doc_id"))).join(known, "doc_id", "left").select("toxic", "text")
+    free = docs.where(~held_out(F.col("doc_id"))).join(ids, "doc_id", "left").select("toxic", "text")
     patterns = free.mapInArrow(tidy(vote), "toxic int, mask long").groupBy("toxic", "mask").count().toPandas()
     masks, counts, toxic = patterns["mask"].to_numpy(np.int64), patterns["count"].to_numpy(float), patterns["toxic"].to_numpy(float)
     model = fit_label_model(masks, counts, toxic)
@@ -361,6 +366,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear |
 
     chosen = known.orderBy(F.xxhash64("doc_id")).limit(sample)
     taught = write_table(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(tidy(target), "text string, p double"), "taught")
+    drop_tables(known)
     n, base = taught.agg(F.count("*"), F.avg("p")).first()
     error = F.sqrt(F.greatest(F.col("n") * base * (1 - base), F.lit(1e-9)))
     away = F.abs(F.col("w") - F.col("n") * base) / error
