@@ -110,6 +110,15 @@ def test_index_update(spark):
     assert got[digest("t2")] == (42, 2) and got[digest("t3")] == (83, 2) and got[digest("t5")] == (85, 3)
 
 
+def test_index_update_with_repeated_rows_and_deletions(spark):
+    docs = [(1, "a"), (2, "a"), (3, "a"), (5, "b"), (5, "b"), (4, "b"), (None, "c"), (None, "c"), (6, "c")]
+    members = content_digests(documents(spark, docs))
+    gone = content_digests(documents(spark, [(1, "a"), (1, "a"), (5, "b"), (None, "c"), (6, "c"), (6, "c"), (9, "c")])).withColumn("op", F.lit("delete"))
+    got = {bytes(r.digest): (r.keep_id, r.group_size) for r in update_index(build_index(members, 2), gone, members, 2).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).digest()
+    assert got == {digest("a"): (3, 2), digest("b"): (5, 2), digest("c"): (None, 1)}
+
+
 def test_near_edges(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(documents(spark, EDGES), 4).collect() if r.doc_id}
     assert got[1] == (0, 1) and got[3] == (0, 3) and got[4] == (1, 4) and got[5] == (1, 4) and got[7] == (29_997, 6)

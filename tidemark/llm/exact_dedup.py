@@ -154,31 +154,30 @@ def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
 def update_index(index: DataFrame, batch: DataFrame, members: DataFrame, shards: int) -> DataFrame:
     """The index after a batch of (digest, doc_id, op) rows, op 'insert' or 'delete'.
 
-    ``members`` (digest, doc_id) are the copies that the index was made of. Deletions apply
-    before insertions. A deletion takes one copy, that of its doc_id, off its digest's group,
-    and the digest leaves the index with the last. Where the copy that stayed goes, the largest
-    id of those left stays. Deleting what isn't live does nothing.
+    ``members`` (digest, doc_id) are the copies that the index was made of, a row each. Deletions
+    apply before insertions. A deletion takes one copy of its doc_id off its digest's group, as
+    often as there are copies of that id; the digest leaves the index with the last. The largest
+    id of which a copy is left stays. Deleting what isn't live does nothing.
     """
-    known = members.select("digest", "doc_id").distinct()
-    gone = batch.where("op = 'delete'").join(known, ["digest", "doc_id"], "left_semi")
-    new = batch.where("op = 'insert'")
-    lost = index.join(gone.select("digest", F.col("doc_id").alias("keep_id")), ["digest", "keep_id"], "left_semi").select("digest")
-    left = known.join(lost, "digest", "left_semi").join(gone.select("digest", "doc_id"), ["digest", "doc_id"], "left_anti")
-    heirs = lost.join(left.groupBy("digest").agg(F.max("doc_id").alias("heir")), "digest", "left").withColumn("lost", F.lit(1))
-    rows = gone.select("digest", "doc_id", "op").unionAll(new.select("digest", "doc_id", "op"))
-    counted = rows.groupBy("digest", "op").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n")).join(heirs, "digest", "left")
+    gone, new = batch.where("op = 'delete'"), batch.where("op = 'insert'")
+    touched = members.join(gone.select("digest").distinct(), "digest", "left_semi")
+    both = touched.select("digest", "doc_id", F.lit(1).alias("have"), F.lit(0).alias("drop")).unionAll(gone.select("digest", "doc_id", F.lit(0), F.lit(1)))
+    each = both.groupBy("digest", "doc_id").agg(F.sum("have").alias("have"), F.least(F.sum("have"), F.sum("drop")).alias("drop"))
+    heir = F.max(F.when(F.col("have") > F.col("drop"), F.col("doc_id")))
+    old = each.groupBy("digest").agg(heir.alias("doc_id"), F.sum("drop").alias("n")).where("n > 0").select("digest", F.lit("delete").alias("op"), "doc_id", "n")
+    counted = old.unionByName(new.groupBy("digest", "op").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n")))
 
     def apply(key, live: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         index = CuckooIndex(len(live) + len(rows))
         for digest, keep, n in zip(live["digest"], _ids(live["keep_id"]), live["group_size"]):
             index.insert(bytes(digest), (keep, int(n)))
         old = rows[rows["op"] == "delete"]
-        for digest, n, heir, lost in zip(old["digest"], old["n"], _ids(old["heir"]), old["lost"]):
+        for digest, n, heir in zip(old["digest"], old["n"], _ids(old["doc_id"])):
             held = index.get(bytes(digest))
             if held is not None:
                 index.delete(bytes(digest))
                 if held[1] > n:
-                    index.insert(bytes(digest), (heir if lost == 1 else held[0], held[1] - int(n)))
+                    index.insert(bytes(digest), (heir, held[1] - int(n)))
         new = rows[rows["op"] == "insert"]
         for digest, doc_id, n in zip(new["digest"], _ids(new["doc_id"]), new["n"]):
             _merge(index, bytes(digest), doc_id, int(n))
