@@ -223,6 +223,19 @@ def principal_axes(cells: DataFrame, grid: DataFrame, keys: list[str], weight: s
     return s.select(*keys, angle(half + root).alias("length"), angle(half - root).alias("width"))
 
 
+def running_ids(blobs: DataFrame) -> DataFrame:
+    """(time, cell, blob_id): blobs numbered from 1 through all times, in order of time and then of
+    their smallest cell, without following them from one time to the next."""
+    key = F.struct("time", "blob")
+    ids = numbered(blobs.select(key.alias("key")).distinct(), "key", "blob_id")
+    return blobs.withColumn("key", key).join(ids, "key").select("time", "cell", "blob_id")
+
+
+def flattened(tracked: DataFrame) -> DataFrame:
+    """(time, cell, tag): 1 wherever any object is."""
+    return tracked.select("time", "cell").distinct().withColumn("tag", F.lit(1))
+
+
 def either(*masks: DataFrame) -> DataFrame:
     """(time, cell) tagged in any of the masks."""
     out = masks[0].select("time", "cell")

@@ -112,6 +112,18 @@ def variable_threshold(anomaly: DataFrame, factor: float = 1.5, modes: int = 8,
     return smooth.select("cell", "day", (F.greatest("smooth", F.lit(floor)) if floor is not None else F.col("smooth")).alias("threshold"))
 
 
+def smoothed_threshold(level: DataFrame, n_lon: int, n_lat: int, n_time: int, modes: tuple = (2, 2, 8), floor: float | None = None) -> DataFrame:
+    """(i, j, day, threshold): a threshold t by grid place and day (from 0), of which the first
+    harmonics stay along longitude, along latitude in each hemisphere, and in time, in turn."""
+    east = harmonics(level, "t", "i", ["j", "day"], modes[0], n_lon).withColumnRenamed("smooth", "t")
+    half = n_lat // 2
+    sides = east.withColumn("south", F.col("j") < half).withColumn("row", F.when(F.col("j") < half, F.col("j")).otherwise(F.col("j") - half))
+    north = harmonics(sides, "t", "row", ["south", "i", "day"], modes[1], half)
+    back = north.select("i", F.when(F.col("south"), F.col("row")).otherwise(F.col("row") + half).alias("j"), "day", F.col("smooth").alias("t"))
+    made = harmonics(back, "t", "day", ["i", "j"], modes[2], n_time)
+    return made.select("i", "j", "day", (F.greatest("smooth", F.lit(floor)) if floor is not None else F.col("smooth")).alias("threshold"))
+
+
 def normalised(anomaly: DataFrame, threshold: DataFrame, least: float, southern_sign: int = 1, northern_sign: int = 1) -> DataFrame:
     """(time, cell, level): the whole part of the signed anomaly over its threshold, 0 if below.
 

@@ -38,6 +38,47 @@ def merge_tables(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return x.join(y, keys, "full").withColumn("side", side).drop("_a", "_b")
 
 
+def merge_contained(tracked: DataFrame, single: DataFrame, keys: list[str] = ["time"]) -> DataFrame:  # noqa: B006
+    """(keys, blob, tracked): each ``single`` blob and the ``tracked`` one that it is or is part of.
+
+    Both have keys, blob, area, minlat, maxlat, minlon, maxlon (boxes may cross longitude 0). Equal
+    areas at a time are the same blob. What is left on both sides meets by time: a single blob
+    belongs to every tracked one whose box holds its own. Others have null; a blob in several
+    has a row for each.
+    """
+    one = single.select(*keys, "blob", "area", *(F.col(c).alias(f"_{c}") for c in ("minlat", "maxlat", "minlon", "maxlon")))
+    same = one.select(*keys, "blob", "area").join(tracked.select(*keys, "area", F.col("blob").alias("tracked")), [*keys, "area"]).select(*keys, "blob", "tracked")
+    left = one.join(same.select(*keys, "blob"), [*keys, "blob"], "left_anti")
+    open_ = tracked.withColumnRenamed("blob", "tracked").join(same.select(*keys, "tracked"), [*keys, "tracked"], "left_anti").drop("area")
+    width = lambda a, b: geo.norm_lon(F.col(b) - F.col(a))
+    held = (F.col("_minlat") >= F.col("minlat")) & (F.col("_maxlat") <= F.col("maxlat")) & (width("minlon", "_minlon") + width("_minlon", "_maxlon") <= width("minlon", "maxlon"))
+    part = left.join(open_, keys).where(held).select(*keys, "blob", "tracked")
+    found = same.unionByName(part)
+    return single.select(*keys, "blob").join(found, [*keys, "blob"], "left")
+
+
+def similarity_quartiles(pairs: DataFrame, value: str = "similarity") -> DataFrame:
+    """One row: pairs, and the least, quartiles and greatest of their similarity (exact)."""
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    made = pairs.agg(F.count(value).alias("pairs"), F.min(value).alias("least"), q.alias("q"), F.max(value).alias("greatest"))
+    return made.select("pairs", "least", *(F.col("q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))), "greatest")
+
+
+def area_intensity(cells: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, sum_area, most, index): of blocks on a grid (keys, i, j, lon, lat, value; 0 outside
+    the block). Each square of four cells counts with the mean of its corners, if positive,
+    and its area in km2; the index is the sum of mean times area over 1e8."""
+    own = cells.select(*keys, "i", "j", "lon", "lat", F.col(value).alias("v"))
+    step = lambda di, dj, name: own.select(*keys, (F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.struct("lon", "lat", "v").alias(name))
+    at = [*keys, "i", "j"]
+    quad = own.join(step(1, 0, "e"), at).join(step(0, 1, "n"), at).join(step(1, 1, "ne"), at)
+    mean = (F.col("v") + F.col("e.v") + F.col("n.v") + F.col("ne.v")) / 4
+    across = (haversine_km("lon", "lat", "e.lon", "lat") + haversine_km("lon", "n.lat", "e.lon", "n.lat")) / 2
+    made = quad.select(*keys, mean.alias("m"), (across * haversine_km("lon", "lat", "lon", "n.lat")).alias("a")).where("m > 0")
+    sums = made.groupBy(*keys).agg(F.sum("a").alias("sum_area"), (F.sum(F.col("m") * F.col("a")) / 1e8).alias("index"))
+    return own.groupBy(*keys).agg(F.max("v").alias("most")).join(sums, keys).select(*keys, "sum_area", "most", "index")
+
+
 def similarity(a: DataFrame, b: DataFrame, grid: DataFrame, keys: list[str] = ["time"]) -> DataFrame:  # noqa: B006
     """(keys, x, y, similarity): Jaccard similarity, weighted by cos(lat), of blobs that share a
     cell; ``a`` and ``b`` have keys, cell, blob."""

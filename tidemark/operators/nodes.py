@@ -253,6 +253,27 @@ def closed_contour(nodes: DataFrame, field: DataFrame, grid: DataFrame, edge: Da
     return nodes.join(found.where(F.col("closed") == (1.0 if keep_closed else 0.0)).select("time", "cell"), ["time", "cell"], "left_semi")
 
 
+def detect(
+    field: DataFrame, grid: DataFrame, edge: DataFrame, value: str, largest: bool = False, where: Column | None = None, box: tuple | None = None,
+    merge: float = 0.0, discs: dict | None = None, threshold=None, closed_by: tuple = (), not_closed_by: tuple = (),
+) -> DataFrame:
+    """Nodes (time, cell, value) by all steps in the order that counts: extrema, then the region,
+    then merging (before any threshold, so that a node that fails one still drives out its
+    neighbours), then thresholds (:func:`threshold_tree`), then closed contours, then their
+    absence. A contour is (column, delta, distance, search)."""
+    nodes = extrema(field, edge, value, largest, where)
+    if box:
+        nodes = in_region(nodes, grid, box)
+    if merge > 0:
+        nodes = merge_near(nodes, grid, merge, largest)
+    if threshold:
+        nodes = threshold_tree(nodes, field, discs or {}, threshold)
+    for keep, contours in ((True, closed_by), (False, not_closed_by)):
+        for column, delta, dist, search in contours:
+            nodes = closed_contour(nodes, field, grid, edge, column, delta, dist, search, keep_closed=keep)
+    return nodes
+
+
 def max_closed_contour_delta(nodes: DataFrame, field: DataFrame, grid: DataFrame, edge: DataFrame, value: str, dist: float, sign: int = 1, search: float = 0.0) -> DataFrame:
     """(time, cell, delta); see :func:`largest_closed_delta`."""
     near = nodes.sparkSession.sparkContext.broadcast(Neighbours(grid, edge))

@@ -33,6 +33,11 @@ def intensity(cells: DataFrame, u: str, v: str, p: str) -> DataFrame:
     )
 
 
+def extremes(cells: DataFrame, value: str) -> DataFrame:
+    """(step, cand, min, max) of :func:`node_cells` rows; the node's own cell counts."""
+    return cells.groupBy("step", "cand").agg(F.min(value).alias("min"), F.max(value).alias("max"))
+
+
 def radial_profile(cells: DataFrame, value: str, bins: int, width: float) -> DataFrame:
     """(step, cand, profile): means by distance; a cell counts in its bin and the next, bin 0 and
     empty bins are 0."""
@@ -110,17 +115,19 @@ def mask_near(field: DataFrame, nodes: DataFrame, grid: DataFrame, radius: float
     return field.join(hit, ["step", "cell"], "left").select("step", "cell", F.when(keep, F.col("x")).otherwise(F.lit(fill).cast("double")).alias("x"))
 
 
-def composite(nodes: DataFrame, field: DataFrame, grid: DataFrame, step_deg: float, half: int, reach: float, flip_south: bool = False) -> DataFrame:
+def composite(nodes: DataFrame, field: DataFrame, grid: DataFrame, step_deg: float, half: int, reach: float, flip_south: bool = False, minus: str | None = None, centre: tuple | None = None) -> DataFrame:
     """(ix, iy, mean, min, max, count): a field sampled on a square round each node.
 
     Points are ``step_deg`` apart in the stereographic plane about the node; each takes the
-    nearest cell within ``reach`` (ties: the smaller cell). ``flip_south`` mirrors southern nodes.
+    nearest cell within ``reach`` (ties: the smaller cell). ``flip_south`` mirrors southern nodes,
+    ``minus`` is a column of the nodes to take off their values, ``centre`` a (lon, lat) for all.
     """
-    points = sample_points(nodes, step_deg, half, flip_south)
-    near = within(points, grid.select("cell", F.col("lon"), F.col("lat")), reach)
-    w = Window.partitionBy("step", "cand", "ix", "iy").orderBy(F.round("dist", 9), "cell")
-    one = near.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("step", "cand", "ix", "iy", "cell")
-    return one.join(field, ["step", "cell"]).groupBy("ix", "iy").agg(F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("count"))
+    if centre:
+        nodes = nodes.withColumns({"lon": F.lit(float(centre[0])), "lat": F.lit(float(centre[1]))})
+    one = snapshots(sample_points(nodes, step_deg, half, flip_south), field, grid, reach)
+    if minus:
+        one = one.join(nodes.select("step", "cand", F.col(minus).alias("_off")), ["step", "cand"]).withColumn("x", F.col("x") - F.col("_off"))
+    return one.groupBy("ix", "iy").agg(F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("count"))
 
 
 def sample_points(nodes: DataFrame, step_deg: float, half: int, flip_south: bool = False) -> DataFrame:

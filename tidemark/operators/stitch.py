@@ -153,18 +153,20 @@ def smooth_velocity(track: DataFrame, seconds_per_step: float) -> DataFrame:
     return track.select("track_id", "step", "cand", "lon", "lat").groupBy("track_id").applyInPandas(fit, "track_id long, step int, cand int, lon double, lat double, u double, v double")
 
 
-def at_times(track: DataFrame, times: DataFrame) -> DataFrame:
-    """(track_id, t, lon, lat): places of tracks at times (t) between their nodes, linear in time
-    and along the shorter way round in longitude. An interval join on whole steps."""
+def at_times(track: DataFrame, times: DataFrame, columns: tuple = ()) -> DataFrame:
+    """(track_id, t, lon, lat, columns): tracks at times (t) between their nodes, linear in time and
+    along the shorter way round in longitude. An interval join on whole steps. A column that
+    is null at either node is null between them."""
     w = Window.partitionBy("track_id").orderBy("step")
-    seg = track.select("track_id", "step", "lon", "lat", F.lead("step").over(w).alias("s2"), F.lead("lon").over(w).alias("lon2"), F.lead("lat").over(w).alias("lat2"))
+    seg = track.select("track_id", "step", "lon", "lat", *columns, F.lead("step").over(w).alias("s2"), F.lead("lon").over(w).alias("lon2"), F.lead("lat").over(w).alias("lat2"), *(F.lead(c).over(w).alias(f"_{c}") for c in columns))
     # a segment covers few whole steps: it is put in the bucket of each
     spread = seg.withColumn("bucket", F.explode(F.sequence(F.col("step"), F.coalesce(F.col("s2"), F.col("step")))))
     at = times.withColumn("bucket", F.floor("t").cast("int"))
     hit = spread.join(at, "bucket").where(((F.col("t") >= F.col("step")) & (F.col("t") < F.col("s2"))) | ((F.col("t") == F.col("step")) & F.col("s2").isNull()))
     share = F.coalesce((F.col("t") - F.col("step")) / (F.col("s2") - F.col("step")), F.lit(0.0))
     lon = geo.norm_lon(F.col("lon") + F.coalesce(share * geo.lon_difference("lon2", "lon"), F.lit(0.0)))
-    return hit.select("track_id", "t", lon.alias("lon"), F.coalesce(F.col("lat") + share * (F.col("lat2") - F.col("lat")), F.col("lat")).alias("lat"))
+    between = [F.when(F.col("s2").isNull() | (share == 0), F.col(c)).otherwise(F.col(c) + share * (F.col(f"_{c}") - F.col(c))).alias(c) for c in columns]
+    return hit.select("track_id", "t", lon.alias("lon"), F.coalesce(F.col("lat") + share * (F.col("lat2") - F.col("lat")), F.col("lat")).alias("lat"), *between)
 
 
 def histogram(points: DataFrame, n_lon: int, n_lat: int, lon0: float = 0.0, lon1: float = 360.0, lat0: float = -90.0, lat1: float = 90.0) -> DataFrame:
