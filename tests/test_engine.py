@@ -23,6 +23,11 @@ def db():
     return database()
 
 
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
+def test_query_without_sql_runs(spark, name):
+    assert catalogue.QUERIES[name](spark, DATA).count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_sql(spark, db, name):
     same(catalogue.QUERIES[name](spark, DATA), db, catalogue.SQL[name])

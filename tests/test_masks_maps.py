@@ -1,23 +1,11 @@
-"""Masks, shapes and maps: queries against SQL, and cases that the queries don't have."""
+"""Masks, shapes and maps: cases that their queries don't have."""
 
 import math
 
 import pytest
 
-from tests.compare import DATA, database, same
 from tidemark.operators import grid as g
-from tidemark.operators import maps, masks, shapes
-from tidemark.plans import map_queries, mask_queries
-
-
-@pytest.fixture(scope="module")
-def db():
-    return database()
-
-
-@pytest.mark.parametrize("module, name", [(m, n) for m in (mask_queries, map_queries) for n in m.QUERIES])
-def test_against_sql(spark, db, module, name):
-    same(module.QUERIES[name](spark, DATA), db, module.SQL[name])
+from tidemark.operators import maps, masks, profiles, shapes
 
 
 def small_grid(spark):
@@ -80,6 +68,18 @@ def test_shapes_with_holes_date_line_and_tiles_of_any_size(spark):
     assert shapes.points_in_shapes(spots, known.limit(0), ["k"]).collect() == []
 
 
+def test_many_regions_meet_points_by_tile(spark):
+    """More regions than go to all tasks give the names that few of them give."""
+    n = 10_100
+    known = spark.range(n).selectExpr("CAST(id AS INT) AS number", "concat('r', id) AS name", "(id % 180) * 2.0 + 0.1 AS x", "CAST(id / 180 AS INT) * 3.0 - 85.05 AS y")
+    corners = "array(named_struct('lon', x, 'lat', y), named_struct('lon', x + 3, 'lat', y), named_struct('lon', x + 3, 'lat', y + 3.5), named_struct('lon', x, 'lat', y + 3.5)) AS corners"
+    known = known.selectExpr("number", "name", corners)
+    spots = spark.range(300).selectExpr("id AS k", "(id * 37 % 360) + 0.5 AS lon", "(id * 53 % 170) - 84.3 AS lat")
+    many = {r.k: r.region for r in profiles.region_of(spots, known, ["k"]).collect()}
+    few = {r.k: r.region for r in profiles.region_of(spots, known.where("number < 9000"), ["k"]).collect()}
+    assert {k: v for k, v in many.items() if few[k]} == {k: v for k, v in few.items() if v} and sum(v is not None for v in few.values()) > 200
+
+
 def test_nearest_map_far_equal_and_none(spark):
     targets = spark.createDataFrame([(1, 10.0, 0.0), (2, 190.0, 0.0), (3, 10.0, 0.0), (4, None, 0.0)], "t int, lon double, lat double")
     points = spark.createDataFrame([(1, 10.0, 0.0), (2, 100.0, 89.0), (3, 185.0, -80.0), (4, 280.0, 1.0), (5, None, None)], "p int, lon double, lat double")

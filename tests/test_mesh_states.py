@@ -7,17 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.compare import DATA, database, same
 from tidemark.operators import climate, climate_state, mesh, pv
-from tidemark.plans import mesh_queries
 from tidemark.sources import tables_text
 
 
-@pytest.mark.parametrize("name", list(mesh_queries.QUERIES))
-def test_against_sql(spark, name):
-    same(mesh_queries.QUERIES[name](spark, DATA), database(), mesh_queries.SQL[name])
-
-
 def test_areas_cover_the_sphere_and_adjacency_is_mutual(spark):
     faces, nodes = mesh.cubed_sphere(spark, 4)
     cells = mesh.mesh_cells(faces, nodes)
