@@ -45,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near dedup", near), ("decontamination", decontaminate), ("packing", packing)]
 
-#: The first stage's model can't be stated in SQL; tests hold the stages against brute force.
+#: The first stage's model can't be stated in SQL; tests hold each stage against a plain computation.
 ORACLE_SQL = None
 
 
