@@ -149,7 +149,12 @@ def persistence(spark, sf_dir):
     return b.persistent(x.series(spark, sf_dir), F.col("x") > 50, 3, order=["time", "event_id"])
 
 
-@query()
+_RIDGE = """z AS (SELECT f.time, f.cell, g.i, g.j, g.lat, f.v FROM f JOIN g USING (cell)), w AS (SELECT max(i)+1 AS n FROM z),
+nb AS (SELECT a.time, a.cell, a.lat, a.v, b.v AS v2, b.j=a.j AS beside, b.i=a.i AS above FROM z a JOIN z b ON b.time=a.time AND b.cell<>a.cell AND abs(b.j-a.j)<=1 AND ((a.i-b.i+1)%(SELECT n FROM w)+(SELECT n FROM w))%(SELECT n FROM w)<=2),
+su AS (SELECT time, cell, lat, v, count(*) AS k, (sum(CASE WHEN beside OR above THEN 4.0 ELSE 1.0 END*v2)-20*v)/6 AS fall, max(v2) FILTER (WHERE beside) AS r, max(v2) FILTER (WHERE above) AS c FROM nb GROUP BY 1, 2, 3, 4)"""
+
+
+@query(_with(x.GRID, x.FIELD) + f", {_RIDGE} SELECT time, cell, v AS value, round(fall, 6) AS fall, v>=r OR v>=c AS spine FROM su WHERE k=8 AND abs(lat)>=15 AND v>=60 AND fall<=-20")
 def ridge_spines(spark, sf_dir):
     at = x.the_grid(spark).select("cell", "i", "j", "lat")
-    return b.ridges(x.field(spark, sf_dir).join(F.broadcast(at), "cell"), "v", 60.0, 20.0, 1, 15.0)
+    return b.ridges(x.field(spark, sf_dir).join(F.broadcast(at), "cell"), "v", 60.0, 20.0, 1, 15.0).withColumn("fall", F.round("fall", 6))

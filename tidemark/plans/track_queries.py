@@ -79,9 +79,24 @@ def track_velocity(spark, sf_dir):
     return rounded(s.add_velocity(walked(spark, sf_dir), 2592000.0).select("track_id", "step", "cand", "u", "v"), 5, "u", "v")
 
 
-@query()
+def _slopes(value: str) -> str:
+    """SQL: slope at each node of the monotone cubic through ``value`` over tt, by track."""
+    end = lambda h0, h1, d0, d1: f"""CASE WHEN {d1} IS NULL THEN {d0} WHEN ((2*{h0}+{h1})*{d0}-{h0}*{d1})/({h0}+{h1})*{d0} <= 0 THEN 0
+      WHEN {d0}*{d1} < 0 AND abs(((2*{h0}+{h1})*{d0}-{h0}*{d1})/({h0}+{h1})) > 3*abs({d0}) THEN 3*{d0} ELSE ((2*{h0}+{h1})*{d0}-{h0}*{d1})/({h0}+{h1}) END"""
+    return f"""h_{value} AS (SELECT track_id, step, lead(tt) OVER v-tt AS h, (lead({value}) OVER v-{value})/(lead(tt) OVER v-tt) AS d FROM un WINDOW v AS (PARTITION BY track_id ORDER BY step)),
+g_{value} AS (SELECT *, lag(h) OVER v AS hb, lag(d) OVER v AS db, lead(h) OVER v AS ha, lead(d) OVER v AS da, lag(h, 2) OVER v AS hb2, lag(d, 2) OVER v AS db2 FROM h_{value} WINDOW v AS (PARTITION BY track_id ORDER BY step)),
+s_{value} AS (SELECT track_id, step, CASE WHEN h IS NULL AND hb IS NULL THEN NULL WHEN hb IS NULL THEN {end('h', 'ha', 'd', 'da')} WHEN h IS NULL THEN {end('hb', 'hb2', 'db', 'db2')}
+ WHEN d*db > 0 THEN (3*h+3*hb)/((2*h+hb)/db+(h+2*hb)/d) ELSE 0 END AS {value} FROM g_{value})"""
+
+
+_UNWRAPPED = """df AS (SELECT track_id, step, cand, lon, lat, ((lon-lag(lon) OVER v+540)%360)-180 AS dl FROM tn WINDOW v AS (PARTITION BY track_id ORDER BY step)),
+un AS (SELECT track_id, step, step*2592000.0 AS tt, radians(lat) AS y, radians(first_value(lon) OVER v+coalesce(sum(dl) OVER v, 0)) AS x FROM df WINDOW v AS (PARTITION BY track_id ORDER BY step ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(HEAD + f", {_UNWRAPPED}, {_slopes('x')}, {_slopes('y')} SELECT track_id, step, cand, lon, lat, round(x*cos(radians(lat))*{6.37122e6}, 6) AS u, round(y*{6.37122e6}, 6) AS v FROM tn JOIN s_x USING (track_id, step) JOIN s_y USING (track_id, step)")
 def track_smooth_velocity(spark, sf_dir):
-    return s.smooth_velocity(walked(spark, sf_dir), 2592000.0)
+    made = s.smooth_velocity(walked(spark, sf_dir), 2592000.0)
+    return made.withColumns({c: F.round(F.when(~F.isnan(c), F.col(c)), 6) + 0.0 for c in "uv"})
 
 
 @query(HEAD + """, q AS (SELECT track_id, step, lon, lat, lead(step) OVER v AS s2, lead(lon) OVER v AS lo2, lead(lat) OVER v AS la2 FROM tn WINDOW v AS (PARTITION BY track_id ORDER BY step)),
