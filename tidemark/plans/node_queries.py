@@ -189,7 +189,15 @@ def merge_distance(spark, sf_dir):
     return n.merge_near(x.minima(spark, sf_dir), x.the_grid(spark), 32.0)
 
 
-@query()
+_GREEDY = f"""l AS (SELECT * FROM p WHERE NOT EXISTS ({_BEATEN})),
+lo AS (SELECT p.time, p.cell, list(o.cell) FILTER (WHERE o.cell IS NOT NULL) AS lower FROM l p LEFT JOIN l o ON o.time=p.time AND o.cell<p.cell AND o.value=p.value AND {x.gcd('p.lon', 'p.lat', 'o.lon', 'o.lat')} <= 32 GROUP BY 1, 2),
+sq AS (SELECT *, row_number() OVER (PARTITION BY time ORDER BY cell) AS k FROM lo),
+st(time, k, kept) AS (SELECT DISTINCT time, CAST(0 AS BIGINT), CAST([] AS INTEGER[]) FROM l UNION ALL
+ SELECT st.time, sq.k, CASE WHEN list_has_any(st.kept, coalesce(sq.lower, CAST([] AS INTEGER[]))) THEN st.kept ELSE list_append(st.kept, sq.cell) END FROM st JOIN sq ON sq.time=st.time AND sq.k=st.k+1),
+en AS (SELECT time, unnest(arg_max(kept, k)) AS cell FROM st GROUP BY 1)"""
+
+
+@query(_with(x.GRID, x.FIELD, x.MINIMA, _PLACED).replace("WITH ", "WITH RECURSIVE ", 1) + f", {_GREEDY} SELECT l.time, l.cell, l.value FROM l JOIN en USING (time, cell)")
 def merge_distance_equal(spark, sf_dir):
     return n.merge_near(x.minima(spark, sf_dir), x.the_grid(spark), 32.0, merge_equal=True)
 
