@@ -104,3 +104,13 @@ def test_text_tables_round_trip(spark, tmp_path):
     tables_text.write_shape_table(values, f"file://{tmp_path}/shapes", "mean")
     got = {(r.variable, r.time, r["shape"], r["value"]) for r in tables_text.read_shape_table(spark, f"file://{tmp_path}/shapes").collect()}
     assert got == {("mean", "2001", 1, 0.5), ("mean", "2001", 2, None), ("mean", "2000", 1, 2.0)}
+
+
+def test_axis_names():
+    from tidemark.sources.netcdf3 import axis_names
+
+    assert axis_names(["time", "XLAT", "XLONG", "T"]) == ("XLAT", "XLONG")
+    assert axis_names(["latitude", "lat", "lon", "rlon"]) == ("lat", "lon")
+    assert axis_names(["rlat", "lon"], latitude="rlat") == ("rlat", "lon")
+    with pytest.raises(ValueError):
+        axis_names(["lat"])

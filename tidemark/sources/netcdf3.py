@@ -143,3 +143,20 @@ class _Reader(DataSourceReader):
             arrays = [pa.array([partition.path] * n), pa.array(np.full(n, k, np.int32)), pa.array([moment] * n, pa.float64()), pa.array(np.arange(n, dtype=np.int32))]
             arrays += [pa.array(c, mask=np.isnan(c)) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, ["path", "t", "time", "cell", *self.names])
+
+
+# Names under which files hold latitudes and longitudes, the likeliest first.
+LATITUDES = ("lat", "latitude", "LAT", "latitude0", "Latitude", "XLAT")
+LONGITUDES = ("lon", "longitude", "LON", "longitude0", "Longitude", "XLONG")
+
+
+def axis_names(names: list[str], latitude: str | None = None, longitude: str | None = None) -> tuple[str, str]:
+    """The names of the latitude and the longitude among those of a file's variables or a
+    DataFrame's columns: the given ones, else the first that is known."""
+    found = []
+    for given, known in ((latitude, LATITUDES), (longitude, LONGITUDES)):
+        hit = next((n for n in ((given,) if given else known) if n in names), None)
+        if hit is None:
+            raise ValueError(f"none of {[given] if given else list(known)} is among {sorted(names)}")
+        found.append(hit)
+    return found[0], found[1]
