@@ -613,6 +613,53 @@ def test_near_passages_are_found_beside_texts_that_hold_parts(spark, parts):
     assert all(a // 10 == b // 10 for a, b in pairs)
 
 
+@pytest.mark.parametrize("joined", [False, True])
+def test_near_passages_are_found_in_a_crowd_of_texts_that_hold_parts(spark, joined):
+    """Many others share the windows but no near passage, or other passages join the two by a third text."""
+    rng, rows, groups = random.Random(23), [], 20
+    for i in range(groups):
+        quote, one, two = _words(rng, 60), _words(rng, 55), _words(rng, 55)
+        copy = quote[:30] + _words(rng, 1) + quote[31:]
+        parts = [(0, 43), (17, 60), (5, 47), (12, 55)]
+        crowd = [[_words(rng, 50) + quote[a:b] + _words(rng, 50) for _ in range(2 if joined else 5)] for a, b in parts]
+        low, high = max(min(map(_digest, kind)) for kind in crowd), min(max(map(_digest, kind)) for kind in crowd)
+        while low > high:
+            crowd = [[_words(rng, 50) + quote[a:b] + _words(rng, 50) for _ in kind] for (a, b), kind in zip(parts, crowd)]
+            low, high = max(min(map(_digest, kind)) for kind in crowd), min(max(map(_digest, kind)) for kind in crowd)
+        texts = []
+        for part, more in ((quote, one), (copy, two)):
+            while True:
+                text = _words(rng, 70) + part + _words(rng, 60) + (more if joined else [])
+                if low < _digest(text) < high:
+                    break
+            texts.append(text)
+        texts += [x for kind in crowd for x in kind] + ([one + _words(rng, 50) + two] if joined else [])
+        rows += [(100 * i + n, " ".join(t)) for n, t in enumerate(texts)]
+    got = repeated_passages(documents(spark, rows)).collect()
+    assert len({r.doc_id // 100 for r in got if r.doc_id // 100 == r.other_id // 100 and {r.doc_id % 100, r.other_id % 100} == {0, 1}}) >= 19
+
+
+def test_places_of_a_crowd_are_compared_like_all_pairs():
+    from tidemark.llm.substring import _meeting
+
+    rng = np.random.default_rng(6)
+    line = rng.integers(0, 2**32, 38, dtype=np.uint32)
+    fresh = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    sets = [np.concatenate([line, fresh(60)]) for _ in range(300)]
+    for i in range(0, 40, 2):
+        sets[i + 1][38:50] = sets[i][38:50]
+    sets = [np.unique(x) for x in sets]
+    least = np.full(300, 46)
+    least[100:110] = 30
+    group = np.arange(300) // 3
+    common = [[len(np.intersect1d(x, y)) for y in sets] for x in sets[:120]]
+    need = lambda i, j: -(-80 * (least[i] + least[j]) // 180)
+    want = [(i, j) for i in range(120) for j in range(i + 1, 120) if common[i][j] >= need(i, j) and group[i] != group[j]]
+    got = [tuple(x) for x in _meeting(sets, least, group, 46, 80)]
+    assert [x for x in got if x[1] < 120] == want and {(2, 3), (8, 9)} <= set(got)
+    assert sorted(tuple(x) for x in _meeting(sets[:120], least[:120], group[:120], 46, 80)) == want
+
+
 def test_progressions_align_like_all_pairs():
     from tidemark.llm.substring import _aligned, _progressions
 
