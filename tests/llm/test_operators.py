@@ -693,3 +693,70 @@ def test_windows_of_a_chunk_are_those_of_its_texts():
             assert got[row] == (x.tolist(), sorted(map(tuple, profile(x, 46).tolist())))
         else:
             assert got[row] == ([], [])
+
+
+def _edited(rng, base, n):
+    """Copies of ``base`` (32-bit shingles) with some replaced, and on every other one also one left out."""
+    out = []
+    for i in range(n):
+        row = base.copy()
+        n = int(rng.integers(0, 8))
+        row[rng.choice(len(row), n, replace=False)] = rng.integers(0, 2**32, n, np.uint32)
+        row[60:] = rng.permutation(row[60:]) if i % 5 == 4 else row[60:]
+        out.append(np.delete(row, [int(x) for x in rng.choice(40, i % 2)]))
+    return out
+
+
+def test_rows_compared_at_once_leave_out_none_that_is_alike():
+    from tidemark.llm.substring import _Around, _in_line, _in_order
+
+    rng, alike = np.random.default_rng(4), [0, 0]
+    for _ in range(20):
+        rows = _edited(rng, rng.integers(0, 2**32, int(rng.integers(60, 120)), np.uint32), 12)
+        at = [int(x) for x in rng.integers(20, 40, 12)]
+        near = _Around(at, rows, 46, 80)
+        for i in range(12):
+            others = np.delete(np.arange(12), i)
+            line, dense = near.line(i, others).tolist(), near.dense(i, others).tolist()
+            for j in others.tolist():
+                if _in_line(rows[i], at[i], rows[j], at[j], 46, 80)[0]:
+                    assert j in line
+                    alike[0] += 1
+                kind, places = _in_order(rows[i], rows[j], 46, 80)
+                if kind == 2:
+                    a, b, c, d = places
+                    one, two = set(rows[i][a : b + 1].tolist()), set(rows[j][c : d + 1].tolist())
+                    assert b - a >= 45 and d - c >= 45 and 100 * len(one & two) >= 80 * len(one | two)
+                    assert j in dense or len(np.unique(rows[i])) < len(rows[i]) or len(np.unique(rows[j])) < len(rows[j])
+                    alike[1] += 1
+    assert min(alike) > 20
+
+
+def test_texts_with_words_left_out_are_joined_by_few_pairs():
+    """Of n alike rows n - 1 pairs at most, not all; each says which places are alike."""
+    from tidemark.llm.substring import _place_links
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**32, 160, np.uint32)
+    rows = [np.delete(base, [10 + 4 * i, 150 - 2 * i]) for i in range(30)]
+    at = [int(np.flatnonzero(row == base[79])[0]) for row in rows]
+    for i, row in enumerate(rows):  # each has others of its own between those that all have
+        row[i % 12 :: 12] = rng.integers(0, 2**32, len(row[i % 12 :: 12]), np.uint32)
+        row[at[i]] = base[79]
+    found = _place_links(np.zeros(30, bool), at, np.full(30, 46), rows, 46, 70)
+    assert 0 < len(found) < 30
+    for i, j, (a, b, c, d) in found:
+        one, two = set(rows[i][a : b + 1].tolist()), set(rows[j][c : d + 1].tolist())
+        assert 100 * len(one & two) >= 70 * len(one | two)
+
+
+def test_alike_places_are_verified_without_windows():
+    from tidemark.llm.substring import shared_passages
+
+    rng, none = np.random.default_rng(1), np.zeros((0, 4), np.int64)
+    x = rng.integers(0, 2**63, 90, np.uint64)
+    y = np.concatenate((rng.integers(0, 2**63, 7, np.uint64), x[20:80]))
+    y[30] = 1
+    assert shared_passages(x, none, y, none, 46, 80) == []
+    assert shared_passages(x, none, y, none, 46, 80, places=[(25, 75, 12, 62)]) == [(20, 79, 7, 66, 59, 61)]
+    assert shared_passages(x, none, y, none, 46, 80, places=[(0, 50, 0, 50)]) == []
