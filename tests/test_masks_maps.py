@@ -104,3 +104,12 @@ def test_bilinear_rows_sum_to_one_beyond_the_last_latitude(spark):
     targets = spark.createDataFrame([(k, k * 36.7, -90.0 + k * 20) for k in range(10)], "cell int, lon double, lat double")
     rows = maps.bilinear_weights(targets, 24, 12, -82.5, 15.0)
     assert all(math.isclose(r.s, 1.0) for r in rows.groupBy("row").sum("s").toDF("row", "s").collect())
+
+
+def test_bilinear_points_on_a_row_of_cells_have_one_row(spark):
+    """Rows of a grid 7 times finer lie at no round latitudes; the points on them do."""
+    lats = [-90 + (j + 0.5) * 15 / 7 for j in range(3, 84, 7)]
+    targets = spark.createDataFrame([(k, 0.0, round(v, 2)) for k, v in enumerate(lats)], "cell int, lon double, lat double")
+    rows = maps.bilinear_weights(targets, 168, 84, -90.0 + 7.5 / 7, 15.0 / 7)
+    assert all(math.isclose(a, round(a, 2)) for a in lats)
+    assert sorted((r.row, r.col, r.s) for r in rows.collect()) == [(k + 1, j * 168 + 1, 1.0) for k, j in enumerate(range(3, 84, 7))]

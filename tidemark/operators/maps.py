@@ -60,7 +60,9 @@ def bilinear_weights(targets: DataFrame, n_lon: int, n_lat: int, lat0: float, dl
     """(row, col, s): weights of the four cells of an even periodic grid (longitudes from 0, rows of
     latitude from ``lat0``) round each point of ``targets`` (cell, lon, lat). Beyond the outermost
     rows the nearest row counts alone, so that the weights of a row always sum to 1."""
-    x, y = geo.norm_lon("lon") / (360.0 / n_lon), F.least(F.greatest((F.col("lat") - lat0) / dlat, F.lit(0.0)), F.lit(float(n_lat - 1)))
+    # counted from the grid's south side: a point on a row of cells has that row's weight alone
+    up = (F.col("lat") - (lat0 - dlat / 2)) / dlat - 0.5
+    x, y = geo.norm_lon("lon") / (360.0 / n_lon), F.least(F.greatest(up, F.lit(0.0)), F.lit(float(n_lat - 1)))
     at = targets.select("cell", x.alias("x"), y.alias("y")).withColumns({"i": F.floor("x").cast("int"), "j": F.least(F.floor("y").cast("int"), F.lit(max(n_lat - 2, 0)))})
     corners = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in ((0, 1) if n_lat > 1 else (0,)))))
     at = at.withColumn("c", corners)
