@@ -113,3 +113,37 @@ def test_bilinear_points_on_a_row_of_cells_have_one_row(spark):
     rows = maps.bilinear_weights(targets, 168, 84, -90.0 + 7.5 / 7, 15.0 / 7)
     assert all(math.isclose(a, round(a, 2)) for a in lats)
     assert sorted((r.row, r.col, r.s) for r in rows.collect()) == [(k + 1, j * 168 + 1, 1.0) for k, j in enumerate(range(3, 84, 7))]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_on_an_edge_come_along_within_a_margin(spark):
+    """The sides of a square and of its hole, a point a little off, and a side on longitude 0."""
+    known = spark.createDataFrame([(1, ring((0, 0), (10, 0), (10, 10), (0, 10))), (1, ring((4, 4), (6, 4), (6, 6), (4, 6)))], "shape int, corners array<struct<lon:double,lat:double>>")
+    points = {1: (0, 5), 2: (10, 5), 3: (5, 4), 4: (5, 6), 5: (3, 3), 6: (10 + 5e-10, 5), 7: (10 + 1e-5, 5), 8: (5, 5), 9: (0, 0), 10: (360 - 5e-10, 5), 11: (5, -5e-10)}
+    spots = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in points.items()], "k int, lon double, lat double")
+    for tile in (2.0, 5.0):
+        got = {r.k: r.on_edge for r in shapes.points_in_shapes(spots, known, ["k"], tile, margin=1e-9).collect()}
+        assert got == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True, 9: True, 10: True, 11: True}
+    with pytest.raises(ValueError):
+        shapes.points_in_shapes(spots, known, ["k"], margin=0.1)
+
+
+def test_suppliers_on_an_edge_as_in_sql(spark):
+    """Points on the tips and sides of a supplier's rhombus and its hole, as its SQL has them."""
+    from tests.compare import DATA, database
+    from tidemark.plans import map_queries as mq
+
+    db = database()
+    at = "SELECT shape*1000+j*10+i AS k, cx+x*r*1.7*p AS lon, cy+y*r*p AS lat FROM sh, (VALUES (0, 1.0, 0.0), (1, 0.5, 0.5), (2, -0.25, 0.75), (3, 0.0, -1.0)) v(i, x, y), (VALUES (0, 0.4), (1, 1.0)) w(j, p) WHERE cx BETWEEN 40 AND 320"
+    want = f"WITH {mq._IN_SHAPES}, pk AS ({at}) SELECT k, shape FROM (SELECT k, shape, {mq._taxi('lon', 'lat')} AS t FROM pk, sh) WHERE t < 1 AND t >= 0.4"
+    spots = spark.createDataFrame(db.sql(f"WITH {mq._IN_SHAPES} {at}").fetchall(), "k long, lon double, lat double")
+    assert sorted(map(tuple, mq.held(spark, DATA, spots, "k").collect())) == sorted(db.sql(want).fetchall())
+
+
+def test_tiles_of_few_shapes_are_not_broadcast(spark):
+    known = spark.range(3).selectExpr("CAST(id AS INT) AS shape", "array(named_struct('lon', 0D, 'lat', 0D), named_struct('lon', 9D, 'lat', 0D), named_struct('lon', 9D, 'lat', 9D)) AS corners")
+    spots = spark.range(30).selectExpr("id AS k", "CAST(id AS DOUBLE) AS lon", "CAST(id AS DOUBLE) AS lat")
+    assert "Broadcast" not in plan_of(shapes.first_shape(spots, known, ["k"]))
