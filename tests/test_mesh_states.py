@@ -114,3 +114,10 @@ def test_axis_names():
     assert axis_names(["rlat", "lon"], latitude="rlat") == ("rlat", "lon")
     with pytest.raises(ValueError):
         axis_names(["lat"])
+
+
+def test_spectral_nodes_and_edges_are_not_joined_by_broadcast(spark):
+    """A few faces become many nodes; their number isn't in Spark's estimate."""
+    placed = mesh.spectral_nodes(*mesh.cubed_sphere(spark, 2), 3)
+    for df in (placed, mesh.spectral_edges(placed)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -108,7 +108,8 @@ def spectral_nodes(faces: DataFrame, nodes: DataFrame, order: int, continuous: b
         .when(j == 0, side(n[0], n[1], i)).when(i == last, side(n[1], n[2], j)).when(j == last, side(n[3], n[2], i)).when(i == 0, side(n[0], n[3], j))
         .otherwise(inner)
     )
-    rows = at.select("face", "i", "j", (shared if continuous else inner).alias("gll"), F.posexplode("c").alias("k", "node")).join(nodes, "node")
+    # a face becomes order * order * 4 rows, which Spark's estimate doesn't see: never by broadcast
+    rows = at.select("face", "i", "j", (shared if continuous else inner).alias("gll"), F.posexplode("c").alias("k", "node")).join(nodes.hint("merge"), "node")
     points = F.array(*(F.lit((p + 1) / 2) for p in GAUSS_LOBATTO[order]))
     s, t = points[i], points[j]
     weight = F.when(F.col("k").isin(1, 2), s).otherwise(1 - s) * F.when(F.col("k").isin(2, 3), t).otherwise(1 - t)
@@ -121,7 +122,7 @@ def spectral_edges(placed: DataFrame) -> DataFrame:
     """(cell, nbr) of GLL keys that are next to each other on an element's lattice."""
     step = F.explode(F.array(F.struct(F.lit(1).alias("di"), F.lit(0).alias("dj")), F.struct(F.lit(0).alias("di"), F.lit(1).alias("dj")))).alias("m")
     ahead = placed.select("face", (F.col("i") - 1).alias("i"), "j", F.col("gll").alias("nbr")).unionAll(placed.select("face", "i", (F.col("j") - 1).alias("j"), F.col("gll").alias("nbr")))
-    one = placed.select("face", "i", "j", F.col("gll").alias("cell")).join(ahead, ["face", "i", "j"]).select("cell", "nbr").where("cell <> nbr").distinct()
+    one = placed.select("face", "i", "j", F.col("gll").alias("cell")).join(ahead.hint("merge"), ["face", "i", "j"]).select("cell", "nbr").where("cell <> nbr").distinct()
     return one.unionAll(one.select(F.col("nbr").alias("cell"), F.col("cell").alias("nbr"))).distinct()
 
 
