@@ -147,3 +147,13 @@ def test_tiles_of_few_shapes_are_not_broadcast(spark):
     known = spark.range(3).selectExpr("CAST(id AS INT) AS shape", "array(named_struct('lon', 0D, 'lat', 0D), named_struct('lon', 9D, 'lat', 0D), named_struct('lon', 9D, 'lat', 9D)) AS corners")
     spots = spark.range(30).selectExpr("id AS k", "CAST(id AS DOUBLE) AS lon", "CAST(id AS DOUBLE) AS lat")
     assert "Broadcast" not in plan_of(shapes.first_shape(spots, known, ["k"]))
+
+
+def test_members_of_few_shapes_meet_the_field_by_merge(spark):
+    from tidemark.operators import metrics
+
+    grid, _ = small_grid(spark)
+    members = spark.range(2).selectExpr("CAST(id AS INT) AS shape", "explode(sequence(0, 40)) AS cell")
+    made = metrics.reduce_polygons(field_of(spark, {c: c for c in range(72)}).withColumnRenamed("step", "time"), "x", members, grid)
+    assert "Broadcast" not in plan_of(made)
+    assert sorted((r.shape, r["sum"] > 0, r["median"]) for r in made.collect()) == [(0, True, 20.0), (1, True, 20.0)]

@@ -233,8 +233,10 @@ def regrid_bilinear(field: DataFrame, value: str, targets: DataFrame, dlon: floa
 
 def reduce_polygons(field: DataFrame, value: str, members: DataFrame, grid: DataFrame) -> DataFrame:
     """(time, shape, mean, sum, q25, median, q75): area-weighted mean and sum, and order statistics,
-    of the cells of each shape. ``members`` has shape, cell."""
-    rows = field.where(F.col(value).isNotNull()).join(members, "cell").join(F.broadcast(grid.select("cell", "area")), "cell").select("time", "shape", "area", F.col(value).alias("v"))
+    of the cells of each shape. ``members`` has shape, cell; it may have the grid's size, and Spark
+    takes what comes of a few shapes for small, so it is joined by shuffles."""
+    own = members.join(grid.select("cell", "area").hint("merge"), "cell")
+    rows = field.where(F.col(value).isNotNull()).join(own.hint("merge"), "cell").select("time", "shape", "area", F.col(value).alias("v"))
     w = Window.partitionBy("time", "shape")
     ranked = rows.withColumn("k", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count("*").over(w))
     order = lambda q: F.max(F.when(F.col("k") == F.floor((F.col("n") - 1) * q), F.col("v")))
