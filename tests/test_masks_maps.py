@@ -157,3 +157,9 @@ def test_members_of_few_shapes_meet_the_field_by_merge(spark):
     made = metrics.reduce_polygons(field_of(spark, {c: c for c in range(72)}).withColumnRenamed("step", "time"), "x", members, grid)
     assert "Broadcast" not in plan_of(made)
     assert sorted((r.shape, r["sum"] > 0, r["median"]) for r in made.collect()) == [(0, True, 20.0), (1, True, 20.0)]
+
+
+def test_mask_shapes_has_no_broadcast(spark):
+    from tidemark.plans import map_queries as mq
+
+    assert "Broadcast" not in plan_of(mq.mask_shapes(spark, "/root/testdata/sf0.001"))
