@@ -163,3 +163,24 @@ def test_mask_shapes_has_no_broadcast(spark):
     from tidemark.plans import map_queries as mq
 
     assert "Broadcast" not in plan_of(mq.mask_shapes(spark, "/root/testdata/sf0.001"))
+
+
+def test_far_nearest_is_that_of_all_pairs(spark):
+    """Targets on one side of the sphere, points everywhere: most have none within three spacings."""
+    from tidemark.functions import geo
+
+    targets = spark.range(400).selectExpr("CAST(id AS INT) AS t", "id * 7919 % 36000 / 100D AS lon", "id * 104729 % 3000 / 100D + 40 AS lat")
+    targets = targets.unionAll(targets.selectExpr("t + 1000 AS t", "lon", "lat"))
+    points = spark.range(600).selectExpr("CAST(id AS INT) AS p", "id * 6131 % 36000 / 100D - 180 AS lon", "id * 10007 % 18001 / 100D - 90 AS lat")
+    pairs = points.crossJoin(targets.toDF("t", "lon2", "lat2")).withColumn("d", geo.great_circle("lon", "lat", "lon2", "lat2"))
+    want = {r.p: r.t for r in pairs.selectExpr("p", "struct(round(d, 9) AS d, t) AS b").groupBy("p").agg({"b": "min"}).toDF("p", "b").selectExpr("p", "b.t AS t").collect()}
+    assert {r.p: r.t for r in maps.nearest_map(points, targets, ["p"], "t").collect()} == want and len(want) == 600
+    near = {r.p for r in maps.nearest_map(points, targets, ["p"], "t", max_dist=50.0).collect()}
+    assert near == {r.p for r in pairs.where("d <= 50").select("p").distinct().collect()}
+
+
+def test_far_places_are_held_against_few_targets(spark):
+    """A place meets the targets of the tiles that may be nearest, not all of its hemisphere."""
+    goals = spark.range(5000).selectExpr("CAST(id AS INT) AS t", "id * 7919 % 36000 / 100D AS lon", "id * 104729 % 6000 / 100D AS lat")
+    left = spark.range(100).selectExpr("id * 3.6D AS lon", "-30D AS lat")
+    assert 0 < maps._far_pairs(left, goals, "t", 180.0).count() < 100 * 500

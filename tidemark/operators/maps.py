@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geo
 from .blobs import _kept
@@ -16,33 +17,83 @@ def _first_radius(points: int) -> float:
     return min(90.0, max(1e-3, 360.0 / max(points, 1) ** 0.5 / 2))
 
 
+#: Height of the tiles by which far targets are found, in degrees: about 10,300 cover the sphere.
+TILE = 2.0
+
+
+def _tiled(places: DataFrame) -> DataFrame:
+    """``places`` (lon, lat) with the tile of each (_tile) and the tile's centre (_x, _y) and greatest
+    distance from it (_r), which is that of a corner."""
+    band = F.least(F.greatest(F.floor((F.col("lat") + 90) / TILE), F.lit(0)), F.lit(int(180 / TILE) - 1)).cast("int")
+    low = F.col("_band") * TILE - 90
+    columns = F.greatest(F.lit(1), F.ceil(360 / TILE * F.cos(F.radians(low + TILE / 2)))).cast("int")
+    at = places.withColumn("_band", band).withColumn("_columns", columns)
+    at = at.withColumn("_column", F.least(F.floor(geo.norm_lon("lon") / 360 * F.col("_columns")), F.col("_columns") - 1).cast("int"))
+    half = F.lit(180.0) / F.col("_columns")
+    at = at.withColumns({"_tile": F.col("_band") * 1000 + F.col("_column"), "_x": (2 * F.col("_column") + 1) * half, "_y": low + TILE / 2})
+    corner = lambda lat: geo.great_circle(F.lit(0.0), F.col("_y"), half, lat)
+    return at.withColumn("_r", F.greatest(corner(low), corner(low + TILE)) + 1e-6).drop("_band", "_columns", "_column")
+
+
+def _nearest(pairs: DataFrame, target_key: str) -> DataFrame:
+    """The nearest pair of each place; most pairs go before the shuffle: of consecutive ones of a
+    place those within 1e-9 degrees of their nearest stay."""
+
+    def lowest(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lon, lat, dist = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat", "dist"))
+            begins = np.concatenate(([0], np.flatnonzero((lon[1:] != lon[:-1]) | (lat[1:] != lat[:-1])) + 1))
+            least = np.repeat(np.minimum.reduceat(dist, begins), np.diff(np.append(begins, len(dist))))
+            yield batch.filter(pa.array(dist <= least + 2e-9))
+
+    few = pairs.select("lon", "lat", target_key, "dist")
+    few = few.mapInArrow(lowest, few.schema)
+    best = few.groupBy("lon", "lat").agg(F.min(F.struct(F.round("dist", 9).alias("d"), F.col(target_key).alias("t"), "dist")).alias("_b"))
+    return best.select("lon", "lat", F.col("_b.t").alias(target_key), F.col("_b.dist").alias("dist"))
+
+
+def _far_pairs(left: DataFrame, goals: DataFrame, target_key: str, max_dist: float) -> DataFrame:
+    """Pairs of places and targets among which is each place's nearest: of the targets' tiles those
+    that begin no farther from the place's tile than the nearest of them ends. Tiles are compared
+    all with all, whose number is bounded by :data:`TILE`, not by the data."""
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tile = lambda df, s: df.select(F.col("_tile").alias(f"_tile{s}"), F.col("_x").alias(f"_x{s}"), F.col("_y").alias(f"_y{s}"), F.col("_r").alias(f"_r{s}")).distinct()
+    spots, ends = _tiled(left), _tiled(goals)
+    there, here = tile(ends, 2), _kept(tile(spots, 1).repartition(tasks, "_tile1"))
+    apart = geo.great_circle("_x1", "_y1", "_x2", "_y2")
+    met = lambda df: df.join(F.broadcast(there)).withColumn("_d", apart)
+    bound = met(here).groupBy("_tile1").agg(F.min(F.col("_d") + F.col("_r1") + F.col("_r2")).alias("_most"))
+    close = met(here.join(bound, "_tile1")).where(F.col("_d") - F.col("_r1") - F.col("_r2") <= F.least("_most", F.lit(max_dist)))
+    goal = ends.select(F.col("_tile").alias("_tile2"), target_key, F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    around = close.select("_tile1", "_tile2").join(goal.hint("merge"), "_tile2").withColumnRenamed("_tile1", "_tile")
+    pairs = spots.select("lon", "lat", "_tile").join(around.hint("merge"), "_tile")
+    return pairs.withColumn("dist", geo.great_circle("lon", "lat", "lon2", "lat2")).where(F.col("dist") <= max_dist)
+
+
 def nearest_map(points: DataFrame, targets: DataFrame, key: list[str], target_key: str, max_dist: float = 180.0, start: float | None = None) -> DataFrame:
     """(key, target_key, dist): the nearest of ``targets`` for each of ``points``, however far.
 
     Both have lon and lat; ties within 1e-9 degrees go to the smaller target. The search
-    begins within ``start`` degrees (about the targets' spacing); points without a target there
-    go on with three times the radius until ``max_dist``, where those left have no row. So a
-    search is a join on buckets of the radius that it needs, and a wide one is for few points.
+    begins within ``start`` degrees (about the targets' spacing), then three times that, as joins
+    on buckets of the radius. Points that have no target there meet those of the tiles that can
+    hold the nearest, up to ``max_dist``, where those left have no row.
     Points or targets with a null place have no row; copies of a place are searched once.
     """
-    rank = F.row_number().over(Window.partitionBy("lon", "lat").orderBy(F.round("dist", 9), target_key))
     goals = targets.where("lon IS NOT NULL AND lat IS NOT NULL").select(target_key, F.col("lon").cast("double"), F.col("lat").cast("double"))
+    goals = goals.groupBy("lon", "lat").agg(F.min(target_key).alias(target_key))
     spots = points.where("lon IS NOT NULL AND lat IS NOT NULL").withColumns({c: F.col(c).cast("double") for c in ("lon", "lat")})
     left = spots.select("lon", "lat").distinct()
     radius, found = min(start or _first_radius(goals.count()), max_dist), None
-    while True:
-        made = within(left, goals, radius).withColumn("_rank", rank).where("_rank = 1").select("lon", "lat", target_key, "dist")
-        if radius < max_dist:
-            made = _kept(made)
+    for near in (radius, min(3 * radius, max_dist)):
+        made = _kept(_nearest(within(left, goals, near), target_key))
         found = made if found is None else found.unionByName(made)
-        if radius >= max_dist:
-            break
         left = left.join(made.select("lon", "lat"), ["lon", "lat"], "left_anti")
-        if left.isEmpty():
+        if near >= max_dist or left.isEmpty():
             break
-        radius = min(3 * radius, max_dist)
-        if radius > 60:
-            radius = max_dist  # buckets are no narrower than the sphere then
+    else:
+        found = found.unionByName(_nearest(_far_pairs(_kept(left), goals, target_key, max_dist), target_key))
     return spots.select(*key, "lon", "lat").join(found, ["lon", "lat"]).select(*key, target_key, "dist")
 
 
