@@ -42,7 +42,7 @@ def contour_cells(spark, sf_dir):
 @query(_CONTOUR + " SELECT sf.step, sf.cell, CASE WHEN (sf.step, sf.cell) IN (SELECT (step, cell) FROM r) THEN x ELSE -1.0 END AS x FROM sf")
 def mask_contour(spark, sf_dir):
     nodes, field, grid, edge = inputs(spark, sf_dir)
-    return m.apply_mask(field, m.contour_cells(nodes, field, grid, edge, "x", 90.0, 35.0, 16.0), "x", fill=-1.0)
+    return m.apply_mask(field, m.contour_cells(nodes, field, grid, edge, "x", 90.0, 35.0, 16.0, union=True), "x", fill=-1.0)
 
 
 _BLOBS = "WITH RECURSIVE " + ", ".join((x.FINE, _NEAREST, """ok AS (SELECT a.step, a.cand, a.cell, a.dist <= 20 OR a.cell=c.centre AS seed FROM ang a JOIN c0 c USING (step, cand)
@@ -57,4 +57,4 @@ def nearby_blob_cells(spark, sf_dir):
 @query(_BLOBS + " SELECT sf.step, sf.cell, CASE WHEN (sf.step, sf.cell) IN (SELECT (step, cell) FROM r) THEN NULL ELSE x END AS x FROM sf")
 def mask_nearbyblobs(spark, sf_dir):
     nodes, field, grid, edge = inputs(spark, sf_dir)
-    return m.apply_mask(field, m.nearby_blob_cells(nodes, field, grid, edge, "x", 20.0, ">=", 60.0, 50.0), "x", invert=True)
+    return m.apply_mask(field, m.nearby_blob_cells(nodes, field, grid, edge, "x", 20.0, ">=", 60.0, 50.0, union=True), "x", invert=True)
