@@ -184,3 +184,28 @@ def test_far_places_are_held_against_few_targets(spark):
     goals = spark.range(5000).selectExpr("CAST(id AS INT) AS t", "id * 7919 % 36000 / 100D AS lon", "id * 104729 % 6000 / 100D AS lat")
     left = spark.range(100).selectExpr("id * 3.6D AS lon", "-30D AS lat")
     assert 0 < maps._far_pairs(left, goals, "t", 180.0).count() < 100 * 500
+
+
+def test_union_of_floods_is_that_of_all_floods(spark):
+    """Pockets that a first node's flood leaves out and a later one's takes; nodes in many blocks."""
+    grid = g.lat_lon_grid(spark, 12, 24)
+    edge = g.edges(grid)
+    field = spark.range(288 * 2).selectExpr("CAST(id / 288 AS INT) AS step", "CAST(id % 288 AS INT) AS cell", "CAST(id * 7919 % 101 AS DOUBLE) AS x")
+    nodes = spark.range(80).selectExpr("CAST(id % 2 AS INT) AS step", "CAST(id AS INT) AS cand", "id * 37 % 360 + 0.25D AS lon", "id * 13 % 150 - 75 + 0.125D AS lat")
+    for f, args in ((masks.contour_cells, ("x", 60.0, 50.0, 20.0)), (masks.nearby_blob_cells, ("x", 20.0, ">=", 45.0, 60.0))):
+        pairs = f(nodes, field, grid, edge, *args)
+        assert "Generate explode" not in plan_of(pairs).split("MapInArrow")[0]
+        want = {tuple(r) for r in pairs.select("step", "cell").distinct().collect()}
+        assert want and {tuple(r) for r in f(nodes, field, grid, edge, *args, union=True).collect()} == want
+
+
+def test_contained_blobs_shuffle_no_pairs(spark):
+    from tidemark.operators import metrics
+
+    columns = "time int, blob int, area double, minlat double, maxlat double, minlon double, maxlon double"
+    tracked = spark.createDataFrame([(1, 1, 5.0, 0.0, 9.0, 0.0, 9.0), (1, 2, 5.0, 0.0, 9.0, 0.0, 9.0), (1, 3, 6.0, 0.0, 9.0, 355.0, 9.0), (2, 4, 7.0, 0.0, 9.0, 0.0, 9.0)], columns)
+    single = spark.createDataFrame([(1, 1, 5.0, 1.0, 2.0, 1.0, 2.0), (1, 2, 1.0, 1.0, 2.0, 358.0, 2.0), (1, 3, 1.0, 1.0, 12.0, 1.0, 2.0), (3, 4, 7.0, 1.0, 2.0, 1.0, 2.0), (None, 5, 7.0, 1.0, 2.0, 1.0, 2.0)], columns)
+    made = metrics.merge_contained(tracked, single)
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted([(1, 1, 1), (1, 1, 2), (1, 2, 3), (1, 3, None), (3, 4, None), (None, 5, None)], key=repr)
+    # both joins that make pairs end the plan: nothing is dealt out after them
+    assert "Exchange" not in plan_of(made).split("Join")[0]

@@ -48,13 +48,15 @@ def merge_contained(tracked: DataFrame, single: DataFrame, keys: list[str] = ["t
     """
     one = single.select(*keys, "blob", "area", *(F.col(c).alias(f"_{c}") for c in ("minlat", "maxlat", "minlon", "maxlon")))
     same = one.select(*keys, "blob", "area").join(tracked.select(*keys, "area", F.col("blob").alias("tracked")), [*keys, "area"]).select(*keys, "blob", "tracked")
-    left = one.join(same.select(*keys, "blob"), [*keys, "blob"], "left_anti")
-    open_ = tracked.withColumnRenamed("blob", "tracked").join(same.select(*keys, "tracked"), [*keys, "tracked"], "left_anti").drop("area")
+    # which blobs have an equal is told by their areas: the pairs, as many as areas agree, go out at once
+    left = one.join(tracked.select(*keys, "area").distinct(), [*keys, "area"], "left_anti")
+    open_ = tracked.join(single.select(*keys, "area").distinct(), [*keys, "area"], "left_anti").withColumnRenamed("blob", "tracked").drop("area")
     width = lambda a, b: geo.norm_lon(F.col(b) - F.col(a))
     held = (F.col("_minlat") >= F.col("minlat")) & (F.col("_maxlat") <= F.col("maxlat")) & (width("minlon", "_minlon") + width("_minlon", "_maxlon") <= width("minlon", "maxlon"))
-    part = left.join(open_, keys).where(held).select(*keys, "blob", "tracked")
-    found = same.unionByName(part)
-    return single.select(*keys, "blob").join(found, [*keys, "blob"], "left")
+    boxes = open_.withColumnsRenamed({k: f"_t_{k}" for k in keys})
+    for k in keys:
+        held = (F.col(k) == F.col(f"_t_{k}")) & held
+    return same.unionByName(left.join(boxes, held, "left").select(*keys, "blob", "tracked"))
 
 
 def similarity_quartiles(pairs: DataFrame, value: str = "similarity") -> DataFrame:
